@@ -28,8 +28,9 @@ class Linear:
         if not _is_number(kind) or self.best == self.worst:
             return F.lit(0.0)
         share = (raw.cast("double") - F.lit(float(self.worst))) / F.lit(float(self.best - self.worst))
-        share = F.when(F.isnan(share), F.lit(0.0)).otherwise(share)
-        return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.0))
+        # greatest/least skip nulls, so a null metric has to be caught first.
+        known = share.isNotNull() & ~F.isnan(share)
+        return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).otherwise(F.lit(0.0))
 
 
 @dataclass(frozen=True)

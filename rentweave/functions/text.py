@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentweave.functions.numbers import SPACE_CLASS
 
@@ -54,7 +55,7 @@ def any_of(conditions: list[Column]) -> Column:
 NAMED_ENTITIES = [("&amp;", "&"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _numeric_entities(texts: pd.Series) -> pd.Series:
     """Replace &#x..; and &#..; by their code points (no built-in maps a captured group to a character)."""
     import re
