@@ -18,7 +18,7 @@ from rentweave.sources.landing import union_sources
 
 TARGETS = [
     C.Target("office", "08:30", "mon", ["transit", "cycling"], coords=(8.54, 47.37)),
-    C.Target("school", "07:45", "tue", ["walking"], address=" Strasse  5, 8005, City5 "),
+    C.Target("school", "07:45", "tue", ["walking"], address=" Strasse  1, 8028, City8 "),
     C.Target("nowhere", "09:00", "wed", ["driving"], address="Nirgends 1"),
 ]
 NOW = datetime(2002, 1, 1)

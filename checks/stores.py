@@ -296,7 +296,7 @@ FROM fold f JOIN seen s USING (canonical_key) LEFT JOIN photo_lists p USING (can
 
 
 def upsert_again(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that were merged once arrive again: nothing is new and nothing changes."""
+    """Rows that were merged once arrive again: nothing is new, and no fact but a portal id can change."""
     rows = raw_listings(spark, sf)
     stored = M.merge_listings(rows, ARRIVAL)
     again = rows.filter("l_linenumber <= 2").withColumn("source_priority", F.lit(1))
@@ -306,10 +306,17 @@ def upsert_again(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Only a portal id can change: the one that arrives last wins.
 UPSERT_AGAIN = with_sql(
     RAW_SQL,
-    select="""SELECT FALSE AS is_new, FALSE AS changed, bumped, count(*) AS n FROM (
-  SELECT canonical_key, bool_or(l_linenumber <= 2) AS bumped FROM raw_listings GROUP BY 1) GROUP BY bumped""",
+    """
+ids AS (
+  SELECT canonical_key, source, max_by(l_orderkey, seq) AS kept, max_by(l_orderkey, seq) FILTER (WHERE l_linenumber <= 2) AS again
+  FROM raw_listings GROUP BY ALL
+),
+judged AS (SELECT canonical_key, bool_or(again IS NOT NULL) AS bumped, bool_or(again IS NOT NULL AND again <> kept) AS changed
+  FROM ids GROUP BY 1)""",
+    select="SELECT FALSE AS is_new, changed, bumped, count(*) AS n FROM judged GROUP BY changed, bumped",
 )
 
 

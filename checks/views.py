@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rentweave import schema as S
 from rentweave.functions.keys import listing_key
 from rentweave.operators.priority import with_priority
-from rentweave.session import pin_utc
+from rentweave.session import pin_utc, spread
 
 ARRIVAL = [
     "l_orderkey",
@@ -60,7 +60,7 @@ def _phrase(index: Column) -> Column:
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x part as raw listings with stamps and the arrival columns."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem").select(*ARRIVAL), *ARRIVAL)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     rows = line.join(part, line.l_partkey == part.p_partkey)
     sid = F.col("l_suppkey") % 5

@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rentweave.functions.numbers import (
-    number_text,
-    round_area_bucket,
-    round_price_bucket,
-    round_rooms_bucket,
-)
+from rentweave.functions.numbers import round_half_up
+
+
+def _halves_text(n: Column) -> Column:
+    """Text of n/2 for a whole n: buckets are whole or end in .5, so no general number formatting is needed."""
+    sign = F.when(n < 0, F.lit("-")).otherwise(F.lit(""))
+    whole = F.floor(F.abs(n) / F.lit(2)).cast("string")
+    return F.concat(sign, whole, F.when(n % 2 == 0, F.lit("")).otherwise(F.lit(".5")))
 
 
 def key_material(
     postal_code: Column, rooms: Column, area: Column, price_total: Column, url: Column
 ) -> Column:
     """Text the key is hashed from. Any missing fact falls back to the URL, so partial rows never collapse."""
-    complete = (
-        postal_code.isNotNull() & rooms.isNotNull() & area.isNotNull() & price_total.isNotNull()
-    )
-    bucketed = F.concat_ws(
-        "|",
+    # Concatenation is null as soon as one part is.
+    bucketed = F.concat(
         postal_code,
-        number_text(round_rooms_bucket(rooms)),
-        number_text(round_area_bucket(area)),
-        number_text(round_price_bucket(price_total)),
+        F.lit("|"),
+        _halves_text(round_half_up(rooms * 2)),
+        F.lit("|"),
+        (round_half_up(area / 5) * 5).cast("string"),
+        F.lit("|"),
+        (round_half_up(price_total / 50) * 50).cast("string"),
     )
-    return F.when(complete, bucketed).otherwise(F.concat(F.lit("url:"), url))
+    return F.coalesce(bucketed, F.concat(F.lit("url:"), url))
 
 
 def canonical_key(

@@ -62,7 +62,9 @@ MAP_PARTS: dict[str, str] = {
     "lister": "enriched.lister",
     "attrs": "enriched.attrs",
 }
-_CHUNK_SPAN = 1 << 40
+# Arrival numbers: rows of one chunk stay below 2^32, places inside an array below 2^20, and the product fits.
+_CHUNK_SPAN = 1 << 32
+_AT_SPAN = 1 << 20
 
 
 def leaf_value(leaf: str) -> Column:
@@ -155,32 +157,21 @@ def merge_scalars(ranked: DataFrame, leaves: list[str] | None = None) -> DataFra
 
 
 def _facets(ranked: DataFrame) -> DataFrame:
-    """Long form of every collection: one row per photo, map entry, source and array element."""
-
-    def facet(kind: str, name: Column, value: Column, at: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            name.cast("string").alias("name"),
-            value.cast("string").alias("value"),
-            at.cast("int").alias("at"),
-        )
-
-    def of_map(kind: str, path: str) -> Column:
-        return F.transform(
-            F.map_entries(F.col(path)), lambda e: facet(kind, e["key"], e["value"], F.lit(0))
-        )
+    """Long form of every collection: one row per photo, map entry, source and array element.
 
-    def of_array(kind: str, path: str) -> Column:
-        return F.transform(F.col(path), lambda x, i: facet(kind, x, F.lit(None), i))
-
-    parts = [of_array("photo", "photos"), of_array("listed", "enriched.cross_listed_on")]
-    parts += [of_map(kind, path) for kind, path in MAP_PARTS.items()]
-    parts += [of_map("external", "enriched.external_ids"), of_array("seen", "seen_on_sources")]
-    empty = F.array().cast("ARRAY<STRUCT<kind: STRING, name: STRING, value: STRING, at: INT>>")
-    every = F.concat(*[F.coalesce(p, empty) for p in parts])
-    return ranked.select(KEY, "_rank", "_ord", F.explode(every).alias("f")).select(
-        KEY, "_rank", "_ord", "f.*"
-    )
+    Two plain explodes; no per-element lambda, so the whole step stays in generated code.
+    """
+    kinds = [("photo", "photos"), ("listed", "enriched.cross_listed_on"), ("seen", "seen_on_sources")]
+    kinds += list(MAP_PARTS.items()) + [("external", "enriched.external_ids")]
+    entry = "ARRAY<STRUCT<name: STRING, value: STRING>>"
+    parts = []
+    for kind, path in kinds:
+        is_map = kind in MAP_PARTS or kind == "external"
+        members = F.map_entries(path) if is_map else F.arrays_zip(F.col(path).alias("n"), F.col(path).alias("v"))
+        parts.append(F.struct(F.lit(kind).alias("kind"), members.cast(entry).alias("members")))
+    keyed = ranked.select(KEY, "_rank", "_ord", F.explode(F.array(*parts)).alias("p"))
+    filled = keyed.select(KEY, "_rank", "_ord", "p.kind", F.posexplode("p.members").alias("at", "m"))
+    return filled.select(KEY, "_rank", "_ord", "kind", "m.name", "m.value", "at")
 
 
 def merge_collections(ranked: DataFrame) -> DataFrame:
@@ -189,32 +180,32 @@ def merge_collections(ranked: DataFrame) -> DataFrame:
     First one row per (key, kind, name), with partial aggregation, so that copies of one photo or source never
     travel; then one row per key whose arrays hold distinct members only.
     """
+    # A present null is a value too, so values travel wrapped. External ids take the latest, not the best.
+    turn = F.when(F.col("kind") == "external", F.col("_ord")).otherwise(F.col("_rank"))
     facts = _facets(ranked).groupBy(KEY, "kind", "name").agg(
-        F.max(F.struct("_rank", F.struct("value").alias("v"))).alias("best"),
-        F.max_by(F.struct("value"), "_ord").alias("latest"),
-        F.max(F.struct("_rank", (-F.col("at")).alias("back"))).alias("place"),
-        F.min(F.struct("_ord", "at")).alias("arrived"),
+        F.max_by(F.struct("value"), turn).alias("best"),
+        F.max(F.col("_rank") * F.lit(_AT_SPAN) - F.col("at")).alias("place"),
+        F.min(F.col("_ord") * F.lit(_AT_SPAN) + F.col("at")).alias("arrived"),
     )
 
     def listed(kind: str, position: Column) -> Column:
         pairs = F.sort_array(
             F.collect_list(F.when(F.col("kind") == kind, F.struct(position.alias("p"), F.col("name").alias("x"))))
         )
-        return F.transform(pairs, lambda e: e["x"])
+        return pairs["x"]
 
-    def mapped(kind: str, value: Column) -> Column:
+    def mapped(kind: str) -> Column:
         pairs = F.collect_list(
-            F.when(F.col("kind") == kind, F.struct(F.col("name").alias("key"), value.alias("value")))
+            F.when(F.col("kind") == kind, F.struct(F.col("name").alias("key"), F.col("best.value").alias("value")))
         )
         return F.map_from_entries(F.sort_array(pairs))
 
-    front = F.struct((-F.col("place._rank")).alias("a"), (-F.col("place.back")).alias("b"))
     return facts.groupBy(KEY).agg(
-        listed("photo", front).alias("photos"),
+        listed("photo", -F.col("place")).alias("photos"),
         listed("listed", F.col("arrived")).alias("cross_listed_on"),
         listed("seen", F.lit(0)).alias("seen_on_sources"),
-        mapped("external", F.col("latest.value")).alias("external_ids"),
-        *[mapped(kind, F.col("best.v.value")).alias(kind) for kind in MAP_PARTS],
+        mapped("external").alias("external_ids"),
+        *[mapped(kind).alias(kind) for kind in MAP_PARTS],
     )
 
 

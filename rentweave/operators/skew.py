@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows and more than HOT_ROWS of them.
-HOT_SHARE = 500
-HOT_ROWS = 500_000
+HOT_SHARE = 10_000
+HOT_ROWS = 200_000
 # A hot key's rows are cut into this many runs of arrival order.
-CHUNKS = 1024
+CHUNKS = 512
 # Counters kept by the frequent-items sketch.
-_SKETCH = 20_000
+_SKETCH = 200_000
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def find_hot_keys(
 ) -> HotKeys:
     """One narrow pass with two fixed-size sketches per task; no shuffle of rows.
 
-    ``approx_top_k`` never misses an item above its error bound, and 20,000 counters put that bound far below
+    ``approx_top_k`` never misses an item above its error bound, and 200,000 counters put that bound far below
     ``1/share`` of the rows.
     """
     probe = rows.select(F.xxhash64(F.col(key)).alias("h"), order_number.cast("double").alias("o"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "rentweave", master: str | None = None, **conf) -> SparkSession:
@@ -46,3 +46,12 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="rentweave-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash a scan that comes as fewer splits than there are cores (one small file) over all of them.
+
+    A table with enough splits is returned as it is: at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
