@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["merge", "rules", "search", "text", "urls", "enrich", "stores"]
+GROUPS = ["merge", "rules", "search", "text", "urls", "enrich", "stores", "jobs"]
 ALL = {}
 for _group in GROUPS:
     _queries = import_module(f"checks.{_group}").QUERIES

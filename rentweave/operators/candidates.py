@@ -145,8 +145,8 @@ def resolve_legal_names(names: DataFrame, live_hosts: DataFrame) -> DataFrame:
     """First live host of each name's ladder as a candidate. ``live_hosts(host)`` is a landed table."""
     ladder = names.select("legal_name", F.posexplode(candidate_domains(F.col("legal_name"))).alias("at", "host"))
     live = ladder.filter(~is_portal_or_cdn(F.col("host"))).join(live_hosts.select("host").distinct(), "host", "left_semi")
-    best = live.groupBy("legal_name").agg(F.min_by("host", "at").alias("host"))
-    return _spread(best, candidate_from_host(F.col("host"), F.lit(RESOLVED), F.col("legal_name").alias("n"))).drop("host")
+    best = live.groupBy(F.col("legal_name").alias("name")).agg(F.min_by("host", "at").alias("host"))
+    return _spread(best, candidate_from_host(F.col("host"), F.lit(RESOLVED), F.col("name"))).drop("host", "name")
 
 
 def platform_of_candidate(candidates: DataFrame, pages: DataFrame, detail_pages: DataFrame) -> DataFrame:

@@ -211,6 +211,10 @@ def merge_collections(ranked: DataFrame) -> DataFrame:
 
 def nest(flat: DataFrame) -> DataFrame:
     """Flat leaves and collections back to the canonical listing schema."""
+    return flat.select(*nested_columns(flat))
+
+
+def nested_columns(flat: DataFrame) -> list[Column]:
     have = set(flat.columns)
 
     def leaf(name: str) -> Column:
@@ -235,9 +239,7 @@ def nest(flat: DataFrame) -> DataFrame:
             commute=commute,
         ),
     }
-    return flat.select(
-        *[nested.get(n, leaf(n)).cast(ddl).alias(n) for n, ddl in S.LISTING_FIELDS]
-    )
+    return [nested.get(n, leaf(n)).cast(ddl).alias(n) for n, ddl in S.LISTING_FIELDS]
 
 
 def single_row_photos() -> Column:
@@ -271,6 +273,36 @@ def merge_listings(
 
 # --- per-arrival versions -------------------------------------------------------------------------------
 
+_MEMBER = "STRUCT<kind: STRING, name: STRING, value: STRING>"
+
+
+def _new_members(ranked: DataFrame) -> DataFrame:
+    """(key, _ord) of rows that bring a collection member not seen before, with the members (``_fresh``)."""
+    firsts = (
+        _facets(ranked)
+        .filter("kind <> 'external'")
+        .groupBy(KEY, "kind", "name")
+        .agg(F.min_by(F.struct("_ord", "value"), "_ord").alias("first"))
+    )
+    member = F.struct("kind", "name", F.col("first.value").alias("value"))
+    return firsts.groupBy(KEY, F.col("first._ord").alias("_ord")).agg(F.collect_list(member).alias("_fresh"))
+
+
+def _changed_ids(ranked: DataFrame, heat: HotKeys) -> DataFrame:
+    """(key, _ord) of rows whose portal id differs from the one their source had before."""
+    ids = ranked.select(
+        KEY, "_chunk", "_ord", F.explode("enriched.external_ids").alias("name", "value")
+    )
+    inside = Window.partitionBy(KEY, "_chunk", "name").orderBy("_ord")
+    ids = ids.withColumn("_was", F.lag("value").over(inside))
+    if heat:
+        runs = ids.groupBy(KEY, "_chunk", "name").agg(F.max_by("value", "_ord").alias("_last"))
+        earlier = Window.partitionBy(KEY, "name").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carry = runs.select(KEY, "_chunk", "name", F.last("_last").over(earlier).alias("_carried"))
+        ids = ids.join(carry, [KEY, "_chunk", "name"], "left").withColumn("_was", F.coalesce("_was", "_carried"))
+    differs = ids.filter(~F.col("_was").eqNullSafe(F.col("value")))
+    return differs.select(KEY, "_ord").distinct().withColumn("_new_id", F.lit(True))
+
 
 def merge_history(
     rows: DataFrame,
@@ -278,70 +310,119 @@ def merge_history(
     leaves: list[str] | None = None,
     hot: HotKeys | None = None,
     lead: Column | None = None,
+    collections: bool = False,
 ) -> DataFrame:
     """The merged state after each arrival: input columns plus ``v_<leaf>`` for each leaf, ``v_source``,
-    ``v_url``, ``v_priority``, ``v_first_seen``, and the flags ``is_new`` and ``changed``.
+    ``v_url``, ``v_priority``, ``v_first_seen``, and the flags ``is_new`` and ``changed``; with ``collections``
+    also ``v_photos``, ``v_seen_on_sources`` and the open maps.
 
-    ``changed`` covers what the merge can alter: a record always changes the row (priority rises or the date
-    falls); otherwise a leaf gets filled, the first-seen date falls, or a source, photo or map key is new.
+    A record always changes the row (priority rises or the date falls). Any other row does when it fills a leaf,
+    lowers the first-seen date, brings a member no earlier row had, or renews its source's portal id.
     """
     names = list(leaves or SCALAR_LEAVES)
 
     def build(part: DataFrame, heat: HotKeys) -> DataFrame:
         ranked = with_ranks(part, order, heat, lead=lead)
         scope = [KEY, "_chunk"] if heat else [KEY]
+        arrived = ranked.join(_new_members(ranked), [KEY, "_ord"], "left").join(
+            _changed_ids(ranked, heat), [KEY, "_ord"], "left"
+        )
         upto = Window.partitionBy(*scope).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
 
         def carried(leaf: str) -> Column:
             value = leaf_value(leaf)
             return F.max(F.when(value.isNotNull(), F.struct("_rank", value.alias("x"))))
 
-        authority = F.max(F.when(F.col("_rec"), F.struct("_rank", "source", "url")))
-        state = {f"_s_{n}": carried(n) for n in names} | {"_s_auth": authority}
-        held = ranked.withColumns(
-            {k: v.over(upto) for k, v in state.items()}
+        state = {f"_s_{n}": carried(n) for n in names}
+        state["_s_auth"] = F.max(F.when(F.col("_rec"), F.struct("_rank", "source", "url")))
+        lists: dict[str, Column] = {}
+        if collections:
+            arrived = arrived.withColumn("_own", _row_members())
+            none = F.array().cast(f"ARRAY<{_MEMBER}>")
+            fresh = F.coalesce("_fresh", none)
+            of_kind = lambda c, keep: F.filter(c, lambda m: (m["kind"] == "photo") == keep)
+            photos = lambda c: F.nullif(F.transform(of_kind(c, True), lambda m: m["name"]), F.array().cast("ARRAY<STRING>"))
+            # Only rows that add something enter the lists, so they grow with the state, not with the rows.
+            brought = F.nullif(of_kind(F.when(F.col("_rec"), F.col("_own")).otherwise(fresh), False), none)
+            lists = {
+                "_l_top": F.collect_list(F.when(F.col("_rec"), photos(F.col("_own")))),
+                "_l_more": F.collect_list(F.when(~F.col("_rec"), photos(fresh))),
+                "_l_maps": F.collect_list(brought),
+            }
+        held = arrived.withColumns(
+            {k: v.over(upto) for k, v in (state | lists).items()}
             | {
                 "v_priority": F.greatest("_top", "source_priority"),
                 "v_first_seen": F.least("_old", "first_seen_at"),
             }
         )
         if heat:
-            runs = ranked.groupBy(KEY, "_chunk").agg(*[v.alias("c" + k) for k, v in state.items()])
+            runs = arrived.groupBy(KEY, "_chunk").agg(*[v.alias("c" + k) for k, v in (state | lists).items()])
             earlier = Window.partitionBy(KEY).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-            carry = runs.select(KEY, "_chunk", *[F.max("c" + k).over(earlier).alias("c" + k) for k in state])
-            held = held.join(carry, [KEY, "_chunk"], "left").withColumns(
-                {k: F.greatest(k, "c" + k) for k in state}
+            past = [F.max("c" + k).over(earlier).alias("c" + k) for k in state]
+            past += [F.flatten(F.collect_list("c" + k).over(earlier)).alias("c" + k) for k in lists]
+            held = held.join(runs.select(KEY, "_chunk", *past), [KEY, "_chunk"], "left").withColumns(
+                {k: F.greatest(k, "c" + k) for k in state} | {k: F.concat(F.coalesce("c" + k, F.slice(k, 1, 0)), k) for k in lists}
             )
         filled = reduce(
             lambda a, b: a | b,
             [F.coalesce(F.col(f"_s_{n}._rank") == F.col("_rank"), F.lit(False)) for n in names],
         )
-        return held.withColumns(
-            {"v_" + n: F.col(f"_s_{n}.x") for n in names}
-            | {
-                "v_source": F.col("_s_auth.source"),
-                "v_url": F.col("_s_auth.url"),
-                "is_new": F.col("_top").isNull(),
-                "_moved": F.col("_rec")
-                | filled
-                | F.coalesce(F.col("first_seen_at") < F.col("_old"), F.lit(False)),
-            }
-        ).drop(*state, *["c" + k for k in state], "_top", "_old", "_c_top", "_c_old")
+        is_new = F.col("_top").isNull()
+        moved = (
+            F.col("_rec")
+            | filled
+            | F.coalesce(F.col("first_seen_at") < F.col("_old"), F.lit(False))
+            | F.col("_fresh").isNotNull()
+            | F.coalesce("_new_id", F.lit(False))
+        )
+        out = {"v_" + n: F.col(f"_s_{n}.x") for n in names}
+        for leaf, value in LEAF_DEFAULTS.items():
+            if "v_" + leaf in out:
+                out["v_" + leaf] = F.coalesce(out["v_" + leaf], F.lit(value))
+        out |= {"v_source": F.col("_s_auth.source"), "v_url": F.col("_s_auth.url"), "is_new": is_new, "changed": moved}
+        if collections:
+            union = F.array_distinct(F.concat(F.flatten(F.reverse("_l_top")), F.flatten("_l_more")))
+            out["v_photos"] = F.when(is_new, F.coalesce("photos", union)).otherwise(union)
+            out |= {"v_" + kind: _last_values("_l_maps", kind) for kind in MAP_PARTS}
+            out["v_seen_on_sources"] = F.array_sort(
+                F.transform(F.filter(F.flatten("_l_maps"), lambda m: m["kind"] == "seen"), lambda m: m["name"])
+            )
+            out["v_seen_on_sources"] = F.array_distinct(out["v_seen_on_sources"])
+        scratch = [*state, *lists, *["c" + k for k in (state | lists)]]
+        return held.withColumns(out).drop(
+            *scratch, "_top", "_old", "_c_top", "_c_old", "_chunk", "_fresh", "_new_id", "_own"
+        )
 
-    versions = split_by_heat(rows, order, hot, build, lead)
-    fresh = _facets(versions.select(KEY, "_rank", "_ord", "photos", "enriched", "features", "extra", "seen_on_sources"))
-    firsts = (
-        fresh.filter("kind <> 'external'")
-        .groupBy(KEY, "kind", "name")
-        .agg(F.min("_ord").alias("_ord"))
-        .select(KEY, "_ord")
-        .distinct()
-        .withColumn("_fresh", F.lit(True))
-    )
-    out = versions.join(firsts, [KEY, "_ord"], "left")
-    for leaf, value in LEAF_DEFAULTS.items():
-        if "v_" + leaf in out.columns:
-            out = out.withColumn("v_" + leaf, F.coalesce("v_" + leaf, F.lit(value)))
-    return out.withColumn("changed", F.col("_moved") | F.coalesce("_fresh", F.lit(False))).drop(
-        "_moved", "_fresh", "_chunk"
+    return split_by_heat(rows, order, hot, build, lead)
+
+
+def _row_members() -> Column:
+    """A row's own photos, map entries and sources as members."""
+
+    def member(kind: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("string").alias("value"))
+
+    def of_array(kind: str, path: str) -> Column:
+        return F.transform(F.col(path), lambda x: member(kind, x, F.lit(None)))
+
+    def of_map(kind: str, path: str) -> Column:
+        return F.transform(F.map_entries(path), lambda e: member(kind, e["key"], e["value"]))
+
+    parts = [of_array("photo", "photos"), of_array("seen", "seen_on_sources")]
+    parts += [of_map(kind, path) for kind, path in MAP_PARTS.items()]
+    none = F.array().cast(f"ARRAY<{_MEMBER}>")
+    return F.concat(*[F.coalesce(p, none) for p in parts])
+
+
+def _last_values(lists: str, kind: str) -> Column:
+    """Map of the members of one kind, the last value of each name."""
+    members = F.filter(F.flatten(lists), lambda m: m["kind"] == kind)
+    later = F.aggregate(
+        members,
+        F.create_map().cast("MAP<STRING, STRING>"),
+        lambda acc, m: F.map_concat(
+            F.map_filter(acc, lambda k, _: k != m["name"]), F.map_from_entries(F.array(F.struct(m["name"], m["value"])))
+        ),
     )
+    return F.when(F.size(members) > 0, later)

@@ -12,6 +12,8 @@ Open maps hold JSON text. ``enriched`` is split into typed parts so that it can
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,13 +70,18 @@ LISTING_FIELDS = RAW_FIELDS + STAMP_FIELDS[1:]
 LISTING_DDL = ", ".join(f"{name} {ddl}" for name, ddl in LISTING_FIELDS)
 
 
+@lru_cache(maxsize=None)
+def _type_of(ddl: str) -> T.DataType:
+    return T._parse_datatype_string(ddl)
+
+
 def null_of(ddl: str) -> Column:
     return F.lit(None).cast(ddl)
 
 
 def struct_of(ddl: str, **fields: Column) -> Column:
     """Build a struct of the given type; fields not named are null."""
-    kind = T._parse_datatype_string(ddl) if not isinstance(ddl, T.DataType) else ddl
+    kind = _type_of(ddl)
     return F.struct(
         *[
             fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
@@ -131,5 +138,5 @@ def conform_raw(df: DataFrame, *keep: str) -> DataFrame:
         value = F.col(name) if name in have else F.lit(None)
         if name in defaults:
             value = F.coalesce(value, defaults[name]) if name in have else defaults[name]
-        out.append(value.cast(ddl).alias(name))
+        out.append(value.cast(_type_of(ddl)).alias(name))
     return df.select(*out, *keep)
