@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rentweave.functions.names import candidate_domains
 from rentweave.functions.numbers import SPACE_CLASS
+from rentweave.functions.plan import keep_where
 from rentweave.functions.platform import classify_platform
 from rentweave.functions.text import dialect
 from rentweave.functions.urls import (
@@ -49,7 +50,8 @@ def distinct_legal_names(listings: DataFrame) -> DataFrame:
 
 
 def _spread(rows: DataFrame, candidate: Column) -> DataFrame:
-    return rows.withColumn("_c", candidate).filter("_c IS NOT NULL").select("*", "_c.*").drop("_c")
+    spread = rows.withColumn("_c", candidate)
+    return keep_where(spread, F.col("_c").isNotNull()).select("*", "_c.*").drop("_c")
 
 
 def first_per_id(candidates: DataFrame, *order: str) -> DataFrame:
@@ -155,7 +157,8 @@ def platform_of_candidate(candidates: DataFrame, pages: DataFrame, detail_pages:
     ``pages(url, html)`` are landed pages; ``detail_pages(site, loc, rank)`` are each site's detail URLs to try.
     Pages shrink to their platform name before any join.
     """
-    named = pages.select("url", classify_platform(F.col("html")).alias("platform")).filter("platform IS NOT NULL")
+    named = pages.select("url", classify_platform(F.col("html")).alias("platform"))
+    named = keep_where(named, F.col("platform").isNotNull())
     host = F.regexp_replace(host_of(F.col("url")), r"^www\.", "")
     root = F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit("")).isin("", "/") & F.try_parse_url(
         F.col("url"), F.lit("QUERY")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from rentweave import schema as S
 from rentweave.functions.numbers import to_number
+from rentweave.functions.plan import keep_where
 from rentweave.functions.text import html_entity_decode
 from rentweave.functions.urls import listing_id_from_url
 
@@ -80,12 +81,11 @@ def walk_jsonld(blocks: Column, types: list[str], lower: bool = False) -> Column
     return walk(blocks)
 
 
-def last_typed_node(blocks: Column) -> Column:
-    """Last listing node of the first block that has one."""
-    nodes = walk_jsonld(F.coalesce(blocks, F.array().cast("ARRAY<STRING>")), DETAIL_TYPES)
-    first = F.array_min(F.transform(nodes, lambda n: n["block"]))
+def last_typed_node(nodes: Column) -> Column:
+    """Last node of the first block that has one."""
+    first = F.get(nodes, 0)["block"]
     inside = F.filter(nodes, lambda n: n["block"] == first)
-    return F.get(F.transform(inside, lambda n: n["node"]), F.size(inside) - 1)
+    return F.get(inside, F.size(inside) - 1)["node"]
 
 
 @F.pandas_udf(T.StringType())
@@ -108,11 +108,16 @@ def first_shaped_node(roots: pd.Series) -> pd.Series:
 
 
 def blocks_of(html: Column) -> Column:
-    """Linked-data blocks; pages without any never leave the JVM scan with more than an empty array."""
+    """Linked-data blocks; pages without any give an empty array."""
     cut = F.regexp_extract_all(html, F.lit(LD_BLOCK), F.lit(1))
     return F.when(html.contains("ld+json"), cut).otherwise(F.array().cast("ARRAY<STRING>"))
 
 
+def with_nodes(pages: DataFrame, types: list[str], out: str = "_nodes") -> DataFrame:
+    """Add the typed nodes of ``html``. Only the blocks cross to Python, never whole pages."""
+    return pages.withColumn(out, walk_jsonld(blocks_of(F.col("html")), types))
+
+
 def flatten_images(node: Column, path: str = "$.image") -> Column:
     """Absolute http(s) URLs of an ``image`` value: text, {url}, {contentUrl}, or arrays of these."""
     text = F.get_json_object(node, path)
@@ -147,7 +152,8 @@ def scan_product_pages(pages: DataFrame, *keep: str) -> DataFrame:
         hits = F.filter("_nodes", lambda n: n["type"] == kind)
         return F.get(F.transform(hits, lambda n: n["node"]), F.size(hits) - 1)
 
-    staged = staged.withColumns({"_p": last("Product"), "_r": last("Residence")}).filter("_p IS NOT NULL")
+    staged = staged.withColumns({"_p": last("Product"), "_r": last("Residence")})
+    staged = keep_where(staged, F.col("_p").isNotNull())
     product = lambda path: F.get_json_object("_p", path)
     residence = lambda path: F.get_json_object("_r", path)
     mapped = staged.select(

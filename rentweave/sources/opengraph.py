@@ -50,9 +50,10 @@ def _decimal(text: Column) -> Column:
 
 
 def extract_opengraph(pages: DataFrame) -> DataFrame:
-    """Add ``og``: the extracted facts, null unless there is a plausible price and rooms or area.
+    """Add ``og_found`` and ``og``: facts of pages with a plausible price and rooms or area.
 
-    Later patterns run only on pages that have a price.
+    Later patterns run only on pages that have a price. ``og`` is a plain struct, so that taking one field of it
+    never evaluates the others.
     """
     staged = pages.withColumn("_visible", visible_text(F.col("html")))
     price_text = F.regexp_extract("_visible", PRICE, 1)
@@ -96,4 +97,4 @@ def extract_opengraph(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("lat"),
         F.lit(None).cast("double").alias("lng"),
     )
-    return staged.withColumn("og", F.when(keep, facts)).drop("_visible", "_price", "_rooms", "_area", "_tags")
+    return staged.withColumns({"og_found": keep, "og": facts}).drop("_visible", "_price", "_rooms", "_area", "_tags")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rentweave import schema as S
 from rentweave.functions.numbers import to_number
+from rentweave.functions.plan import keep_where
 from rentweave.functions.urls import listing_id_from_url
-from rentweave.sources.jsonld import ANCHOR_TYPES, AUX_TYPES, blocks_of, walk_jsonld
+from rentweave.sources.jsonld import ANCHOR_TYPES, AUX_TYPES, with_nodes
 from rentweave.sources.opengraph import extract_opengraph
 
 PLUGIN = "source-schemaorg"
@@ -47,8 +48,8 @@ def _texts(node: Column, path: str) -> Column:
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """Add ``ld``: facts of the page's best listing node, filled from the other nodes of its graph."""
-    staged = pages.withColumn("_nodes", walk_jsonld(blocks_of(F.col("html")), ANCHOR_TYPES + AUX_TYPES))
+    """Add ``ld_found`` and ``ld``: facts of the page's best listing node, filled from the other nodes of its graph."""
+    staged = with_nodes(pages, ANCHOR_TYPES + AUX_TYPES)
     staged = staged.withColumn("_anchor", pick_anchor(F.col("_nodes")))
     flat = _first(F.col("_nodes"), ["Apartment"], F.col("_anchor.at"))
     house = _first(F.col("_nodes"), ["House", "SingleFamilyResidence"])
@@ -98,23 +99,30 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         to_number(part("geo", "latitude")).alias("lat"),
         to_number(part("geo", "longitude")).alias("lng"),
     )
-    return staged.withColumn("ld", F.when(F.col("_l").isNotNull(), facts)).drop("_nodes", "_anchor", "_l", "_sup")
+    return staged.withColumns({"ld_found": F.col("_l").isNotNull(), "ld": facts}).drop("_nodes", "_anchor", "_l", "_sup")
+
+
+FACTS = (
+    "tier title description url photos price_chf currency rooms area_m2 street postal_code city region lat lng".split()
+)
 
 
 def extract_listing(pages: DataFrame) -> DataFrame:
-    """Add ``listing``: tier 1 when the page has any listing node, else tier 2; never a mix of both."""
+    """Pages with a listing, as ``listing``: tier 1 when the page has any listing node, else tier 2; never a mix."""
     linked = extract_jsonld(pages)
     # Tier 2 reads the page only when tier 1 found nothing.
     html = F.col("html")
-    tiered = extract_opengraph(
-        linked.withColumn("_html", html).withColumn("html", F.when(F.col("ld").isNull(), html))
-    )
-    return tiered.withColumn("html", F.col("_html")).withColumn("listing", F.coalesce("ld", "og")).drop("ld", "og", "_html")
+    tiered = extract_opengraph(linked.withColumn("_html", html).withColumn("html", F.when(~F.col("ld_found"), html)))
+    first = F.col("ld_found")
+    facts = F.struct(*[F.when(first, F.col(f"ld.{n}")).otherwise(F.col(f"og.{n}")).alias(n) for n in FACTS])
+    shaped = tiered.withColumns({"html": F.col("_html"), "listing": facts})
+    kept = keep_where(shaped, first | F.col("og_found"))
+    return kept.drop("ld", "og", "_html", "ld_found", "og_found")
 
 
 def map_listings(pages: DataFrame, *keep: str) -> DataFrame:
     """``pages(agency_id, url, html)`` to raw listings; pages without a listing are dropped."""
-    found = extract_listing(pages).filter("listing IS NOT NULL")
+    found = extract_listing(pages)
     at = lambda name: F.col(f"listing.{name}")
     mapped = found.select(
         F.concat(F.lit("agency:"), "agency_id", F.lit(":"), listing_id_from_url(F.col("url"))).alias("id"),
