@@ -341,12 +341,14 @@ def merge_history(
             none = F.array().cast(f"ARRAY<{_MEMBER}>")
             fresh = F.coalesce("_fresh", none)
             of_kind = lambda c, keep: F.filter(c, lambda m: (m["kind"] == "photo") == keep)
-            photos = lambda c: F.nullif(F.transform(of_kind(c, True), lambda m: m["name"]), F.array().cast("ARRAY<STRING>"))
+            no_photos = F.array().cast("ARRAY<STRING>")
+            unseen = F.transform(of_kind(fresh, True), lambda m: m["name"])
+            added = F.array_intersect(F.coalesce("photos", no_photos), unseen)
             # Only rows that add something enter the lists, so they grow with the state, not with the rows.
             brought = F.nullif(of_kind(F.when(F.col("_rec"), F.col("_own")).otherwise(fresh), False), none)
             lists = {
-                "_l_top": F.collect_list(F.when(F.col("_rec"), photos(F.col("_own")))),
-                "_l_more": F.collect_list(F.when(~F.col("_rec"), photos(fresh))),
+                "_l_top": F.collect_list(F.when(F.col("_rec"), F.nullif(F.col("photos"), no_photos))),
+                "_l_more": F.collect_list(F.when(~F.col("_rec"), F.nullif(added, no_photos))),
                 "_l_maps": F.collect_list(brought),
             }
         held = arrived.withColumns(
