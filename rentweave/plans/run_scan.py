@@ -94,23 +94,10 @@ def versions(arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str]
     return flat.select(*nested_columns(flat), *order, "is_new", "changed")
 
 
-def run_scan(
-    raw: DataFrame,
-    order: Sequence[str],
-    cfg: ScanConfig,
-    now: Column,
-    stored: DataFrame | None = None,
-    outbox_used: DataFrame | None = None,
-    priorities: DataFrame | None = None,
-) -> ScanResult:
-    """Fold arrivals into the listings and decide what to notify.
-
-    Every changed version passes the gate, the rules and the score in turn; a new key's first version alone can be
-    notified. ``outbox_used(day, used)`` counts the slots a day has spent.
-    """
-    if cfg.sources is not None:
-        raw = raw.filter(F.col("plugin").isin(list(cfg.sources)))
-    arrivals = stamp(raw, now, priorities)
+def score_versions(
+    arrivals: DataFrame, order: Sequence[str], cfg: ScanConfig, now: Column, stored: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Changed versions that pass the gate and the rules, scored (slim rows), and the commutes enrichers found."""
     seen = versions(arrivals, stored, order).filter("changed OR is_new")
     commutes = None
     if cfg.enrichers:
@@ -123,10 +110,25 @@ def run_scan(
             commutes = commutes.unionByName(
                 stored.select(KEY, F.col("enriched.commute").alias("_commute")).filter("_commute IS NOT NULL")
             )
-        seen = _with_commute(seen, commutes)
+        seen = with_commute(seen, commutes)
     gated = rental_term_gate(seen, cfg.policy, now).filter("gate_reason IS NULL").drop("gate_reason")
     passed = evaluate_filters(gated, cfg.rules).filter("reject_reason IS NULL").drop("reject_reason")
     scored = score_listing(passed, cfg.dims)
+    return scored.select(KEY, "url", "is_new", "final", "breakdown", "score_error", *order), commutes
+
+
+@dataclass(frozen=True)
+class Outcomes:
+    scores: DataFrame
+    failures: DataFrame
+    admitted: DataFrame
+    outbox: DataFrame
+
+
+def decide(
+    scored: DataFrame, order: Sequence[str], cfg: ScanConfig, now: Column, outbox_used: DataFrame | None = None
+) -> Outcomes:
+    """Scores, failures, admissions and notifications of scored versions."""
     scores = scored.filter("final IS NOT NULL").select(
         F.col(KEY).alias("listing_id"), now.cast("timestamp").alias("scored_at"), "final", "breakdown", *order
     )
@@ -144,13 +146,35 @@ def run_scan(
         F.array().cast("ARRAY<STRING>").alias("also_seen_on"),
     )
     outbox = notification_outbox(events, () if cfg.dry_run else cfg.notifiers)
+    return Outcomes(scores, failures, admitted, outbox)
+
+
+def run_scan(
+    raw: DataFrame,
+    order: Sequence[str],
+    cfg: ScanConfig,
+    now: Column,
+    stored: DataFrame | None = None,
+    outbox_used: DataFrame | None = None,
+    priorities: DataFrame | None = None,
+) -> ScanResult:
+    """Fold arrivals into the listings and decide what to notify.
+
+    Every changed version passes the gate, the rules and the score in turn; a new key's first version alone can be
+    notified. ``outbox_used(day, used)`` counts the slots a day has spent.
+    """
+    if cfg.sources is not None:
+        raw = raw.filter(F.col("plugin").isin(list(cfg.sources)))
+    arrivals = stamp(raw, now, priorities)
+    scored, commutes = score_versions(arrivals, order, cfg, now, stored)
+    done = decide(scored, order, cfg, now, outbox_used)
     listings = merged_listings(arrivals, stored, order, now)
     if commutes is not None:
-        listings = _with_commute(listings, commutes)
-    return ScanResult(listings, scores, outbox, failures, admitted)
+        listings = with_commute(listings, commutes)
+    return ScanResult(listings, done.scores, done.outbox, done.failures, done.admitted)
 
 
-def _with_commute(df: DataFrame, commutes: DataFrame) -> DataFrame:
+def with_commute(df: DataFrame, commutes: DataFrame) -> DataFrame:
     commute = F.coalesce("_commute", "enriched.commute")
     return (
         df.join(commutes, KEY, "left")

@@ -55,6 +55,9 @@ class DeltaLog:
     def write(self, batch_id: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/delta={batch_id}")
 
+    def read_batch(self, batch_id: int) -> DataFrame:
+        return self._load("delta", [batch_id]).drop("_version")
+
     def compact(self) -> None:
         """Fold everything up to the last finished delta into a base of that id."""
         deltas = self._ids("delta")
