@@ -58,9 +58,10 @@ def _phrase(index: Column) -> Column:
     return F.get(F.array(*[F.lit(p) for p in PHRASES]), index.cast("int"))
 
 
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_listings(spark: SparkSession, sf_dir: str, line: DataFrame | None = None, *keep: str) -> DataFrame:
     """lineitem x part as raw listings with stamps and the arrival columns."""
-    line = spread(table(spark, sf_dir, "lineitem").select(*ARRIVAL), *ARRIVAL)
+    if line is None:
+        line = spread(table(spark, sf_dir, "lineitem").select(*ARRIVAL), *ARRIVAL)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     rows = line.join(part, line.l_partkey == part.p_partkey)
     sid = F.col("l_suppkey") % 5
@@ -187,8 +188,9 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         shipped.alias("first_seen_at"),
         shipped.alias("last_seen_at"),
         *ARRIVAL,
+        *keep,
     )
-    shaped = S.conform_raw(staged, "plugin", "first_seen_at", "last_seen_at", *ARRIVAL)
+    shaped = S.conform_raw(staged, "plugin", "first_seen_at", "last_seen_at", *ARRIVAL, *keep)
     shaped = with_priority(shaped).withColumn("seen_on_sources", F.array("source"))
     # The portal's own id goes under the source's name.
     enriched = F.col("enriched").withField("external_ids", F.create_map("source", "id"))

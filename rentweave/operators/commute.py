@@ -82,8 +82,9 @@ def geocode_lookup(listings: DataFrame, geocodes: DataFrame) -> DataFrame:
         F.col("address_norm").alias("_address"), F.col("lat").alias("_g_lat"), F.col("lng").alias("_g_lng")
     )
     own = F.col("location.coords").isNotNull()
-    # Rows with own coordinates get a null join key: they never move for a match they do not need.
-    keyed = listings.withColumn("_address", F.when(~own, listing_address()))
+    # Rows that need no match get keys of their own that nothing equals, so that they spread over all tasks.
+    apart = F.concat(F.lit("\u0000"), F.xxhash64("url").cast("string"))
+    keyed = listings.withColumn("_address", F.coalesce(F.when(~own, listing_address()), apart))
     return (
         keyed.join(known, "_address", "left")
         .withColumns(

@@ -100,7 +100,8 @@ def cover_photos(listings: DataFrame, pages: DataFrame) -> DataFrame:
     covers = pages.select("url", cover.alias("_cover")).filter("_cover IS NOT NULL")
     bare = F.size("photos") == 0
     return (
-        listings.withColumn("_ask", F.when(bare, F.col("url")))
+        # Listings with photos keep a key that matches no page, so that they spread over all tasks.
+        listings.withColumn("_ask", F.when(bare, F.col("url")).otherwise(F.concat(F.lit("\u0000"), "url")))
         .join(covers.withColumnRenamed("url", "_ask"), "_ask", "left")
         .withColumn("photos", F.when(bare & F.col("_cover").isNotNull(), F.array("_cover")).otherwise(F.col("photos")))
         .drop("_ask", "_cover")
