@@ -389,7 +389,7 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     pin_utc(spark)
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     line = table(spark, sf, "lineitem")
-    files = stream_files(spark, f"{sf}/lineitem.parquet", line.schema, "parquet")
+    files = stream_files(spark, sf, line.schema, "parquet", glob="lineitem.parquet")
     cfg = ScanConfig(RentalPolicy("long"), [], [Dim("any", 1, "rooms", Step([Band(9, otherwise=True)]))])
     state = ScanState.at(spark, root)
 

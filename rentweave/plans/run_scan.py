@@ -15,6 +15,7 @@ from rentweave.operators.merge import KEY, MAP_PARTS, SCALAR_LEAVES, merge_histo
 from rentweave.operators.notify import notification_outbox, quota_admission
 from rentweave.operators.priority import with_priority
 from rentweave.operators.scoring import Dim, score_listing
+from rentweave.operators.skew import HotKeys, find_hot_keys
 from rentweave.operators.upsert import merge_upsert
 from rentweave.schema import LISTING_FIELDS, null_of
 
@@ -62,7 +63,14 @@ def stamp(raw: DataFrame, now: Column, priorities: DataFrame | None = None) -> D
     )
 
 
-def versions(arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str]) -> DataFrame:
+def arrival_heat(arrivals: DataFrame, order: Sequence[str]) -> HotKeys:
+    """Hot keys of a scan, found once and shared by its history and its merge."""
+    return find_hot_keys(arrivals, KEY, F.col(order[0]))
+
+
+def versions(
+    arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str], hot: HotKeys | None = None
+) -> DataFrame:
     """The merged listing after each arrival, in the listing schema, with ``is_new`` and ``changed``."""
     fields = [n for n, _ in LISTING_FIELDS]
     rows = arrivals.select(*fields, *order, F.lit(1).alias("_turn"))
@@ -73,7 +81,7 @@ def versions(arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str]
         )
         rows = base.unionByName(rows)
     lead = F.when(F.col("_turn") == 1, F.col(order[0]).cast("double"))
-    history = merge_history(rows, ["_turn", *order], lead=lead, collections=True)
+    history = merge_history(rows, ["_turn", *order], hot=hot, lead=lead, collections=True)
     flat = history.filter("_turn = 1").select(
         KEY,
         *order,
@@ -95,10 +103,15 @@ def versions(arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str]
 
 
 def score_versions(
-    arrivals: DataFrame, order: Sequence[str], cfg: ScanConfig, now: Column, stored: DataFrame | None = None
+    arrivals: DataFrame,
+    order: Sequence[str],
+    cfg: ScanConfig,
+    now: Column,
+    stored: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Changed versions that pass the gate and the rules, scored (slim rows), and the commutes enrichers found."""
-    seen = versions(arrivals, stored, order).filter("changed OR is_new")
+    seen = versions(arrivals, stored, order, hot).filter("changed OR is_new")
     commutes = None
     if cfg.enrichers:
         fresh = seen.filter("is_new")
@@ -166,9 +179,10 @@ def run_scan(
     if cfg.sources is not None:
         raw = raw.filter(F.col("plugin").isin(list(cfg.sources)))
     arrivals = stamp(raw, now, priorities)
-    scored, commutes = score_versions(arrivals, order, cfg, now, stored)
+    hot = arrival_heat(arrivals, order)
+    scored, commutes = score_versions(arrivals, order, cfg, now, stored, hot)
     done = decide(scored, order, cfg, now, outbox_used)
-    listings = merged_listings(arrivals, stored, order, now)
+    listings = merged_listings(arrivals, stored, order, now, hot)
     if commutes is not None:
         listings = with_commute(listings, commutes)
     return ScanResult(listings, done.scores, done.outbox, done.failures, done.admitted)
@@ -183,8 +197,10 @@ def with_commute(df: DataFrame, commutes: DataFrame) -> DataFrame:
     )
 
 
-def merged_listings(arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str], now: Column) -> DataFrame:
+def merged_listings(
+    arrivals: DataFrame, stored: DataFrame | None, order: Sequence[str], now: Column, hot: HotKeys | None = None
+) -> DataFrame:
     """Listings after the scan with ``status``: new in this scan or known."""
     base = stored if stored is not None else arrivals.select(*[n for n, _ in LISTING_FIELDS]).filter(F.lit(False))
-    out = merge_upsert(base, arrivals, order, now)
+    out = merge_upsert(base, arrivals, order, now, hot)
     return out.withColumn("status", F.when(F.col("is_new"), "new").otherwise("known"))
