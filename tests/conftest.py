@@ -9,7 +9,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from rentweave.session import build_session, checkpoint_root  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
