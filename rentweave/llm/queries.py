@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["byte_bpe", "language_id"]
+GROUPS = ["byte_bpe", "language_id", "ngram_join"]
 QUERIES = {}
 for _group in GROUPS:
     QUERIES.update(import_module(f"rentweave.llm.query_{_group}").QUERIES)
