@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["byte_bpe", "language_id", "ngram_join"]
+GROUPS = ["byte_bpe", "language_id", "ngram_join", "decontaminate"]
 QUERIES = {}
 for _group in GROUPS:
     QUERIES.update(import_module(f"rentweave.llm.query_{_group}").QUERIES)
