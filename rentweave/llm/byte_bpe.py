@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rentweave.llm.common import small_batches
+
 #: Text worked at a time within an Arrow batch, in bytes; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 NONE = np.int64(1) << 62
@@ -52,10 +54,6 @@ class Codec:
         self.lens = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        digits = [b"%d " % i for i in range(self.size)]
-        self.digit_lens = np.array([len(d) for d in digits], np.int64)
-        self.digit_starts = np.concatenate([[0], np.cumsum(self.digit_lens)])[:-1]
-        self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.vocabulary = pa.array(tokens, pa.binary())
 
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -191,9 +189,6 @@ class Codec:
         """Bytes of the ids, one after the other."""
         return self.bytes[ragged(self.starts[ids], self.lens[ids])]
 
-    def decimals(self, ids: np.ndarray) -> np.ndarray:
-        """The ids in decimal, each followed by a space."""
-        return self.digits[ragged(self.digit_starts[ids], self.digit_lens[ids])]
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -258,6 +253,7 @@ def byte_bpe(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
                 ["_key", "ids", "decoded"],
             )
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_column].dataType
     schema = T.StructType(
         [T.StructField("_key", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
@@ -284,31 +280,10 @@ def encoded(tool: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
 
 def token_digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Digests of what ``byte_bpe`` gives: n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
-    raw = open(vocabulary, "rb").read()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(raw)
-        for batch in batches:
-            ids = batch.column(1)
-            flat, counts = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
-            said = tool.decimals(flat).tobytes()
-            ends = np.concatenate([[0], np.cumsum(np.append(tool.digit_lens[flat], 0))])
-            rows = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
-            id_sha = [hashlib.sha256(said[a : max(a, b - 1)]).hexdigest() for a, b in zip(rows, rows[1:])]
-            text_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts.astype(np.int64)), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["_key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = df.schema[id_column].dataType
-    schema = T.StructType(
-        [
-            T.StructField("_key", kind),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids_sha256", T.StringType()),
-            T.StructField("decoded_sha256", T.StringType()),
-        ]
+    out = byte_bpe(df, vocabulary, pattern, text, id_column)
+    return out.select(
+        id_column,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
-    out = byte_bpe(df, vocabulary, pattern, text, id_column).withColumnRenamed(id_column, "_key")
-    return out.mapInArrow(run, schema).withColumnRenamed("_key", id_column)
