@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-GROUPS = ["byte_bpe", "language_id", "ngram_join", "decontaminate"]
-QUERIES = {}
+import corpus_pipeline
+
+GROUPS = ["byte_bpe", "language_id", "ngram_join", "decontaminate", "line_templates"]
+QUERIES = {"pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
 for _group in GROUPS:
     QUERIES.update(import_module(f"rentweave.llm.query_{_group}").QUERIES)
