@@ -26,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentweave.llm.common import small_batches, staged
+from rentweave.llm.common import small, small_batches, staged
 from rentweave.llm.components import connected_components
 
 BLOCK, BLOCK_CHARS = 1024, 8 << 20
+FEW_GROUPS = 500_000
 _GAP = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -202,7 +203,9 @@ def ngram_join(
     members = staged(found.select("component", "key", "copies", "text").dropDuplicates(["key"]), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("long")
-    dealt = members.join(sizes.select("component", blocks.alias("blocks")), "component")
+    # Stored apart from the members, so that neither side of this join has to come in the other's partitioning: a large group can be split.
+    sizes = staged(sizes.select("component", blocks.alias("blocks")), "sizes")
+    dealt = members.join(small(sizes, FEW_GROUPS), "component")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
     seen = dealt.groupBy("component", "i", "j").applyInPandas(verifier(n, threshold), "key string, links long, root string, whole boolean")
