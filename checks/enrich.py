@@ -359,13 +359,12 @@ def write_discovered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def priorities(spark: SparkSession, sf: str) -> DataFrame:
-    """Two plugins carry a configured priority."""
+    """Every nation's number is a configured priority of some plugin; the rows hold those of the first two."""
     rows = raw_listings(spark, sf).drop("source_priority")
     configured = (
         table(spark, sf, "nation")
-        .filter("n_nationkey < 2")
         .select(
-            F.when(F.col("n_nationkey") == 0, "source-flatfox").otherwise("source-realadvisor").alias("plugin"),
+            F.when(F.col("n_nationkey") == 0, "source-flatfox").when(F.col("n_nationkey") == 1, "source-realadvisor").otherwise(F.col("n_name")).alias("plugin"),
             (10 + F.col("n_nationkey")).alias("priority"),
         )
     )
@@ -383,14 +382,14 @@ PRIORITIES = with_sql(
 def unioned(spark: SparkSession, sf: str) -> DataFrame:
     """Sources as separate frames, one of them lacking a column."""
     rows = raw_listings(spark, sf).select("source", "plugin", "url", "rooms")
-    parts = [rows.filter(F.col("plugin") == p) for p in ("source-flatfox", "source-homegate", "source-schemaorg")]
+    parts = [rows.filter(F.col("plugin") == p) for p in ("source-flatfox", "source-homegate", "source-immoscout24", "source-schemaorg")]
     parts.append(rows.filter("plugin = 'source-realadvisor'").drop("rooms"))
     return union_sources(parts)
 
 
 UNIONED = with_sql(
     RAW_SQL,
-    select="SELECT source, plugin, url, CASE WHEN sid <> 4 THEN rooms END AS rooms FROM raw_listings WHERE sid <> 2",
+    select="SELECT source, plugin, url, CASE WHEN sid <> 4 THEN rooms END AS rooms FROM raw_listings",
 )
 
 QUERIES = {

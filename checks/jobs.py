@@ -224,20 +224,16 @@ def _landed(spark, sf):
     """Tagged pages, served also from candidates' homepages."""
     pages = tagged_pages(spark, sf)
     k = F.col("page_id")
-    home = F.concat(F.lit("https://www.agency"), (k % 13).cast("string"), F.lit(".ch/"))
-    return pages.select("url", "html").unionByName(
-        pages.filter("page_id < 13").select(home.alias("url"), "html")
-    ).unionByName(
-        pages.filter("page_id < 30").select(
-            F.concat(F.lit("https://partner"), (k % 30).cast("string"), F.lit(".ch/objekt/wohnung-"), (k + 100).cast("string")).alias("url"), "html"
-        )
-    )
+    home = F.concat(F.lit("https://www.agency"), k.cast("string"), F.lit(".ch/"))
+    detail = F.concat(F.lit("https://partner"), k.cast("string"), F.lit(".ch/objekt/wohnung-"), (k + 100).cast("string"))
+    return pages.select(F.explode(F.array("url", home, detail)).alias("url"), "html")
 
 
 def _site_locs(spark, sf):
-    pages = table(spark, sf, "pages").filter("page_id < 30")
+    """A sitemap for every page's partner site; the candidates among them are found by their host."""
+    pages = table(spark, sf, "pages")
     k = F.col("page_id")
-    host = F.concat(F.lit("partner"), (k % 30).cast("string"), F.lit(".ch"))
+    host = F.concat(F.lit("partner"), k.cast("string"), F.lit(".ch"))
     return pages.select(
         host.alias("site"),
         F.explode(

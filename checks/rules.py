@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from checks.views import RAW_SQL, raw_listings, with_sql
 from rentweave import schema as S
 from rentweave.functions.normalize import Band, Categorical, Linear, Sigmoid, Step
-from rentweave.functions.paths import resolve_in
+from rentweave.functions.paths import resolve_path
 from rentweave.operators.filters import CommuteRule, ExprRule, FieldRule, evaluate_filters
 from rentweave.operators.gate import RentalPolicy, Stay, rental_term_gate
 from rentweave.operators.scoring import Commute, Dim, above_threshold, score_listing
@@ -110,7 +110,7 @@ def field_ops(spark: SparkSession, sf: str) -> DataFrame:
     from rentweave.operators.filters import compare
 
     def verdict(field, op, value):
-        r = resolve_in(df, field)
+        r = resolve_path(df.schema, field)
         return compare(op, r, value)
 
     cases = {
@@ -152,7 +152,7 @@ def resolve_paths(spark: SparkSession, sf: str) -> DataFrame:
     }
     out = []
     for name, path in show.items():
-        r = resolve_in(df, path)
+        r = resolve_path(df.schema, path)
         value = r.value.cast("string") if not isinstance(r.kind, T.DoubleType) else F.round(r.value, 6)
         out += [value.alias(name), r.missing.alias(name + "_missing")]
     return df.select("url", *out)

@@ -157,15 +157,15 @@ FIRST_ARRIVALS = with_sql(
 )
 
 
-def _purchases(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'purchase'")
+def _arrivals(spark, sf):
+    e = table(spark, sf, "events")
     return e.select("event_id", F.col("ts").cast("timestamp").alias("at"), "value")
 
 
 def quota_admission(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases as candidates, clicks as what the day already sent."""
+    """All events as candidates, clicks of high value as what the day already sent."""
     sent = table(spark, sf, "events").filter("event_type = 'click' AND value > 99.5").select(F.col("ts").cast("timestamp").alias("sent_at"))
-    admitted = N.quota_admission(_purchases(spark, sf), F.col("at"), ["at", "event_id"], 5, N.quota_used(sent))
+    admitted = N.quota_admission(_arrivals(spark, sf), F.col("at"), ["at", "event_id"], 5, N.quota_used(sent))
     return admitted.select("event_id", "day")
 
 
@@ -173,24 +173,24 @@ QUOTA_ADMISSION = """WITH used AS (
   SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events WHERE event_type = 'click' AND value > 99.5 GROUP BY 1
 ),
 c AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS turn
-  FROM events WHERE event_type = 'purchase')
+  FROM events)
 SELECT event_id, c.day FROM c LEFT JOIN used u ON u.day = c.day WHERE turn <= 5 - coalesce(used, 0)"""
 
 
 def quota_used(spark: SparkSession, sf: str) -> DataFrame:
-    return N.quota_used(_purchases(spark, sf), "at")
+    return N.quota_used(_arrivals(spark, sf), "at")
 
 
-QUOTA_USED = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1"
+QUOTA_USED = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events GROUP BY 1"
 
 
 def outbox(spark: SparkSession, sf: str) -> DataFrame:
-    admitted = N.quota_admission(_purchases(spark, sf), F.col("at"), ["at", "event_id"], 5)
+    admitted = N.quota_admission(_arrivals(spark, sf), F.col("at"), ["at", "event_id"], 5)
     return N.notification_outbox(admitted, ["telegram", "mail"]).select("event_id", "day", "notifier")
 
 
 OUTBOX = """WITH c AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day,
-  row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS turn FROM events WHERE event_type = 'purchase')
+  row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS turn FROM events)
 SELECT event_id, day, notifier FROM c CROSS JOIN (VALUES ('telegram'), ('mail')) n(notifier) WHERE turn <= 5"""
 
 

@@ -122,14 +122,13 @@ SELECT doc_id FROM listing_text WHERE contains(lower(description), 'erstbezug')
 
 
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
-    """Opening words of every document line as locality names, accents included."""
-    words = F.split("text", r"\s+")
-    name = F.array_join(F.slice(words, 1, 3), " ")
-    return table(spark, sf, "documents").select("doc_id", slugify(name).alias("slug"))
+    """Every line of every document as a locality name, accents included."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "name"))
+    return lines.select("doc_id", "line", slugify(F.col("name")).alias("slug"))
 
 
-SLUGS = r"""SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(array_to_string(
-  (regexp_split_to_array(text, '\s+'))[1:3], ' '))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents"""
+SLUGS = r"""SELECT doc_id, CAST(line AS INTEGER) AS line, regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS name, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)"""
 
 
 def _name(k: Column) -> Column:

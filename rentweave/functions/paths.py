@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,15 +48,20 @@ def resolve_path(schema: T.StructType, path: str) -> Resolved:
             missing = missing | F.coalesce(F.size(value) <= int(part), F.lit(True))
             value = F.get(value, int(part))
             kind = kind.elementType
+        elif json_text:
+            # Below an open map: an object's key, or a place in an array.
+            held = F.try_parse_json(value)
+            quoted = part.replace("\\", "\\\\").replace("'", "\\'")
+            found = F.try_variant_get(held, f"$['{quoted}']", "variant")
+            if part.isdigit():
+                found = F.coalesce(found, F.try_variant_get(held, f"$[{part}]", "variant"))
+            missing = missing | found.isNull()
+            value = F.nullif(F.to_json(found), F.lit("null"))
         else:
             return Resolved(F.lit(None), F.lit(True), T.NullType())
     return Resolved(value, F.coalesce(missing, F.lit(True)), kind, json_text)
 
 
-def resolve_in(df: DataFrame, path: str) -> Resolved:
-    return resolve_path(df.schema, path)
-
-
 def json_number(text: Column) -> Column:
     """Number held by a JSON text, null for any other value."""
     return F.when(~text.startswith('"'), text.try_cast("double"))

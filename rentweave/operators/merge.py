@@ -73,13 +73,13 @@ def leaf_value(leaf: str) -> Column:
 
 
 def with_ranks(
-    rows: DataFrame, order: list[str], hot: HotKeys, key: str = KEY, lead: Column | None = None
+    rows: DataFrame, order: list[str], hot: HotKeys, key: str = KEY, lead: list[Column] | None = None
 ) -> DataFrame:
     """Add ``_chunk``, ``_ord`` (arrival number, from 1), ``_rec`` and ``_rank``.
 
-    ``lead`` is a number that never falls in arrival order (default: the first order column).
+    ``lead`` never falls in arrival order, compared as a whole (default: the order columns).
     """
-    chunk = hot.chunk(F.col(order[0]) if lead is None else lead) if hot else F.lit(0)
+    chunk = hot.chunk([F.col(c) for c in order] if lead is None else lead) if hot else F.lit(0)
     part = [key, "_chunk"] if hot else [key]
     rows = rows.withColumn("_chunk", chunk)
     arrival = Window.partitionBy(*part).orderBy(*order)
@@ -117,14 +117,14 @@ def with_ranks(
 
 
 def split_by_heat(
-    rows: DataFrame, order: list[str], hot: HotKeys | None, build, lead: Column | None = None
+    rows: DataFrame, order: list[str], hot: HotKeys | None, build, lead: list[Column] | None = None
 ) -> DataFrame:
     """Apply ``build(rows, hot)`` once, or to cold and hot keys apart.
 
     Cold keys keep the one-shuffle plan (window and aggregate share it); hot keys pay for chunks.
     """
     if hot is None:
-        hot = find_hot_keys(rows, KEY, F.col(order[0]) if lead is None else lead)
+        hot = find_hot_keys(rows, KEY, [F.col(c) for c in order] if lead is None else lead)
     if not hot:
         return build(rows, HotKeys([], []))
     is_hot = hot.is_hot(F.col(KEY))
@@ -253,12 +253,12 @@ def merge_listings(
     order: list[str],
     hot: HotKeys | None = None,
     flat: bool = False,
-    lead: Column | None = None,
+    lead: list[Column] | None = None,
 ) -> DataFrame:
     """One merged listing per canonical key.
 
     ``rows`` are raw listings with stamps (``canonical_key``, ``source_priority``, ``first_seen_at``,
-    ``last_seen_at``, ``seen_on_sources``); ``order`` names the arrival columns, the first of them numeric.
+    ``last_seen_at``, ``seen_on_sources``); ``order`` names the arrival columns, of any type that sorts.
     """
 
     def build(part: DataFrame, heat: HotKeys) -> DataFrame:
@@ -309,7 +309,7 @@ def merge_history(
     order: list[str],
     leaves: list[str] | None = None,
     hot: HotKeys | None = None,
-    lead: Column | None = None,
+    lead: list[Column] | None = None,
     collections: bool = False,
 ) -> DataFrame:
     """The merged state after each arrival: input columns plus ``v_<leaf>`` for each leaf, ``v_source``,
@@ -317,7 +317,7 @@ def merge_history(
     also ``v_photos``, ``v_seen_on_sources`` and the open maps.
 
     A record always changes the row (priority rises or the date falls). Any other row does when it fills a leaf,
-    lowers the first-seen date, brings a member no earlier row had, or renews its source's portal id.
+    lowers the first-seen date, brings a member (not a null one) no earlier row had, or renews its source's portal id.
     """
     names = list(leaves or SCALAR_LEAVES)
 
@@ -375,7 +375,7 @@ def merge_history(
             F.col("_rec")
             | filled
             | F.coalesce(F.col("first_seen_at") < F.col("_old"), F.lit(False))
-            | F.col("_fresh").isNotNull()
+            | F.coalesce(F.exists("_fresh", lambda m: m["value"].isNotNull()), F.lit(False))
             | F.coalesce("_new_id", F.lit(False))
         )
         out = {"v_" + n: F.col(f"_s_{n}.x") for n in names}

@@ -65,7 +65,7 @@ def stamp(raw: DataFrame, now: Column, priorities: DataFrame | None = None) -> D
 
 def arrival_heat(arrivals: DataFrame, order: Sequence[str]) -> HotKeys:
     """Hot keys of a scan, found once and shared by its history and its merge."""
-    return find_hot_keys(arrivals, KEY, F.col(order[0]))
+    return find_hot_keys(arrivals, KEY, [F.col(c) for c in order])
 
 
 def versions(
@@ -80,7 +80,7 @@ def versions(
             *fields, *[F.lit(None).cast(arrivals.schema[c].dataType).alias(c) for c in order], F.lit(0).alias("_turn")
         )
         rows = base.unionByName(rows)
-    lead = F.when(F.col("_turn") == 1, F.col(order[0]).cast("double"))
+    lead = [F.when(F.col("_turn") == 1, F.col(c)) for c in order]
     history = merge_history(rows, ["_turn", *order], hot=hot, lead=lead, collections=True)
     flat = history.filter("_turn = 1").select(
         KEY,
@@ -119,11 +119,13 @@ def score_versions(
             fresh = enrich(fresh)
         # What the first version got stays with the key.
         commutes = fresh.select(KEY, F.col("enriched.commute").alias("_commute")).filter("_commute IS NOT NULL")
-        if stored is not None:
-            commutes = commutes.unionByName(
-                stored.select(KEY, F.col("enriched.commute").alias("_commute")).filter("_commute IS NOT NULL")
-            )
-        seen = with_commute(seen, commutes)
+    known = commutes
+    if stored is not None:
+        # A listing keeps the commute it was stored with, whether or not an enricher runs now.
+        kept = stored.select(KEY, F.col("enriched.commute").alias("_commute")).filter("_commute IS NOT NULL")
+        known = kept if commutes is None else commutes.unionByName(kept)
+    if known is not None:
+        seen = with_commute(seen, known)
     gated = rental_term_gate(seen, cfg.policy, now).filter("gate_reason IS NULL").drop("gate_reason")
     passed = evaluate_filters(gated, cfg.rules).filter("reject_reason IS NULL").drop("reject_reason")
     scored = score_listing(passed, cfg.dims)

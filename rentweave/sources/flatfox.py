@@ -10,7 +10,7 @@ from rentweave.functions.dates import parse_instant
 from rentweave.functions.numbers import leading_number
 from rentweave.functions.rental_term import classify_rental_term
 from rentweave.functions.urls import absolutise
-from rentweave.sources.landing import CORRUPT, read_json
+from rentweave.sources.landing import CORRUPT, read_json, split_malformed
 
 PLUGIN = "source-flatfox"
 HOST = "https://flatfox.ch"
@@ -24,11 +24,13 @@ RESULT_DDL = (
 PAGE_DDL = f"results ARRAY<{RESULT_DDL}>, next STRING"
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    pages = read_json(spark, path, PAGE_DDL).filter(f"{CORRUPT} IS NULL")
-    return pages.select("file", "position", F.posexplode("results").alias("item", "r")).select(
-        "r.*", "file", "position", "item"
-    )
+def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of good pages, and the pages that don't parse, with the ``problem``."""
+    whole = F.greatest(F.size("results"), F.lit(0)).cast("string")
+    problem = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("malformed page, readable rows: "), whole))
+    pages, rejected = split_malformed(read_json(spark, path, PAGE_DDL), problem)
+    rows = pages.select("file", "position", F.posexplode("results").alias("item", "r"))
+    return rows.select("r.*", "file", "position", "item"), rejected
 
 
 def map_listings(results: DataFrame, *keep: str) -> DataFrame:

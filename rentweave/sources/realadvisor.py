@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rentweave import schema as S
 from rentweave.functions.numbers import number_text
 from rentweave.functions.text import slugify
-from rentweave.sources.landing import CORRUPT, read_json
+from rentweave.sources.landing import CORRUPT, read_json, split_malformed
 
 PLUGIN = "source-realadvisor"
 HIT_DDL = (
@@ -24,11 +24,13 @@ PAGE_DDL = f"listings ARRAY<{HIT_DDL}>"
 RENT_URL = "https://realadvisor.ch/en/rent/"
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    pages = read_json(spark, path, PAGE_DDL).filter(f"{CORRUPT} IS NULL")
-    return pages.select("file", "position", F.posexplode("listings").alias("item", "h")).select(
-        "h.*", "file", "position", "item"
-    )
+def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of good pages, and the pages that don't parse, with the ``problem``."""
+    whole = F.greatest(F.size("listings"), F.lit(0)).cast("string")
+    problem = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("malformed page, readable rows: "), whole))
+    pages, rejected = split_malformed(read_json(spark, path, PAGE_DDL), problem)
+    rows = pages.select("file", "position", F.posexplode("listings").alias("item", "h"))
+    return rows.select("h.*", "file", "position", "item"), rejected
 
 
 def map_listings(hits: DataFrame, *keep: str) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentweave import schema as S
 from rentweave.functions.dates import next_weekday_at, parse_date_strict
@@ -188,11 +189,11 @@ def test_scan_sitemap_files(spark, tmp_path):
 def test_scan_landed_json(spark, tmp_path):
     (tmp_path / "page.json").write_text('{"results": [{"pk": 7, "zipcode": 8000, "number_of_rooms": "2.5", "images": [1]}], "next": null}')
     (tmp_path / "broken.json").write_text('{"results": [')
-    out = flatfox.map_listings(flatfox.scan(spark, str(tmp_path)), "file", "position", "item").collect()
+    out = flatfox.map_listings(flatfox.scan(spark, str(tmp_path))[0], "file", "position", "item").collect()
     assert [(r["id"], r["url"], r["rooms"], r["photos"]) for r in out] == [("flatfox:7", "https://flatfox.ch/en/flat/7/", 2.5, [])]
     (tmp_path / "hits").mkdir()
     (tmp_path / "hits" / "p.json").write_text('{"listings": [{"id": 5, "postcode": "8001", "locality": "Zürich"}, {"id": ""}, {}]}')
-    hits = realadvisor.map_listings(realadvisor.scan(spark, str(tmp_path / "hits"))).collect()
+    hits = realadvisor.map_listings(realadvisor.scan(spark, str(tmp_path / "hits"))[0]).collect()
     assert [h["url"] for h in hits] == ["https://realadvisor.ch/en/rent/8001-zurich/apartment"]
 
 
@@ -202,3 +203,40 @@ def test_malformed_rows_reach_the_failure_log(spark, tmp_path):
     assert [r["id"] for r in homegate.map_listings(good).collect()] == ["homegate:a"]
     log = failure_log(bad, "source-homegate", F.lit(datetime(2024, 1, 1)))
     assert sorted(r["message"] for r in log.collect()) == ["id: required", "malformed record"]
+
+
+def test_unparsable_pages_are_set_aside(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"results": [{"pk": 1}, {"pk": 2}]}')
+    (tmp_path / "b.json").write_text('{"results": [{"pk": 3}, {"p')
+    rows, bad = flatfox.scan(spark, str(tmp_path))
+    assert rows.count() == 2
+    log = failure_log(bad, flatfox.PLUGIN, F.lit("2026-01-01 00:00:00")).collect()
+    assert [r["plugin"] for r in log] == ["source-flatfox"] and log[0]["message"].startswith("malformed page")
+
+
+def test_null_map_entries_are_no_change(spark):
+    from rentweave.operators.upsert import content_text
+    from rentweave.schema import LISTING_DDL
+
+    base = spark.createDataFrame([(1,)], "x int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(LISTING_DDL).fields])
+    kind = base.schema["enriched"].dataType
+    none = F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(None).cast("string")))
+
+    def text(lister):
+        parts = [(lister if f.name in ("lister", "attrs", "external_ids") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields]
+        return base.withColumn("enriched", F.struct(*parts)).select(content_text()).first()[0]
+
+    assert text(none) == text(F.create_map().cast("map<string,string>"))
+
+
+def test_paths_below_an_open_map(spark):
+    from rentweave.functions.paths import resolve_path
+
+    df = spark.createDataFrame([({"a": '{"b":3,"c":null,"d":[{"e":"x"}]}', "f": "7"},)], "features map<string,string>")
+
+    def found(path):
+        r = resolve_path(df.schema, path)
+        return df.select(r.value.cast("string"), r.missing).first()
+
+    assert tuple(found("features.a.b")) == ("3", False) and tuple(found("features.a.c")) == (None, False)
+    assert tuple(found("features.a.d.0.e")) == ('"x"', False) and found("features.a.z")[1] and found("features.f.g")[1]
