@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rentweave.functions.numbers import SPACE_CLASS
 
@@ -55,23 +53,27 @@ def any_of(conditions: list[Column]) -> Column:
 NAMED_ENTITIES = [("&amp;", "&"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")]
 
 
-@F.pandas_udf(T.StringType())
-def _numeric_entities(texts: pd.Series) -> pd.Series:
-    """Replace &#x..; and &#..; by their code points (no built-in maps a captured group to a character)."""
-    import re
+def _character(code: Column, digits: Column) -> Column:
+    """The character of a code point; text of one beyond Unicode, and U+FFFD for half a surrogate pair."""
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(code.isNull() | (code > 0x10FFFF), F.concat(F.lit("&#"), digits, F.lit(";")))
+        .when(code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .otherwise(wide)
+    )
 
-    def point(digits: str, base: int) -> str:
-        value = int(digits, base)
-        return chr(value) if value <= 0x10FFFF else f"&#{digits};"
 
-    hexa, deci = re.compile(r"&#[xX]([0-9a-fA-F]+);"), re.compile(r"&#([0-9]+);")
-    return texts.map(
-        lambda t: deci.sub(lambda m: point(m[1], 10), hexa.sub(lambda m: point(m[1], 16), t)),
-        na_action="ignore",
-    )
+def _code_points(text: Column, entity: str, base: int) -> Column:
+    """Replace each match of ``entity`` (group 1: its digits) by its character: the texts between the matches, each followed by one."""
+    between, digits = F.split(text, entity), F.regexp_extract_all(text, F.lit(entity), F.lit(1))
+    # More than 16 digits without leading zeros never fit; `conv` would only saturate.
+    code = lambda d: F.conv(d, base, 10).try_cast("bigint")
+    ends = F.transform(digits, lambda d: _character(code(d), d))
+    return F.array_join(F.zip_with(between, ends, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
 
 
 def html_entity_decode(text: Column) -> Column:
-    """Hex, decimal and five named entities. Only rows that hold a numeric entity visit Python."""
-    numeric = F.when(text.contains("&#"), _numeric_entities(text)).otherwise(text)
+    """Hex, then decimal, then five named entities; only texts that hold a numeric one are taken apart."""
+    hexa = F.when(text.contains("&#x") | text.contains("&#X"), _code_points(text, "&#[xX]([0-9a-fA-F]+);", 16)).otherwise(text)
+    numeric = F.when(hexa.contains("&#"), _code_points(hexa, "&#([0-9]+);", 10)).otherwise(hexa)
     return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, numeric)

@@ -15,6 +15,8 @@ META_CONTENT_FIRST = r"""(?i)<meta[^>]+content=["']([^"']*)["'][^>]+(?:property|
 SCRIPT = r"(?i)<script(?s:.)*?</script>"
 STYLE = r"(?i)<style(?s:.)*?</style>"
 PRICE = rf"(?i)(?:CHF|Fr\.?){SPACE_CLASS}?(\d[\d'.,{_S}]{{1,12}})"
+# A page without this has no price: a script or style between the currency and the number becomes the one space allowed there.
+PRICE_HINT = rf"(?i)(?:CHF|Fr\.?)(?:{SPACE_CLASS}?\d|<script|<style)"
 ROOMS = dialect(r"(\d[.,]?\d?)\s*(?:Zimmer|pièces|locali|rooms?|stanze|chambres?)")
 AREA = dialect(r"(\d{2,4}(?:[.,]\d+)?)\s*m(?:²|\s*2|q)")
 POSTAL_CITY = dialect(r"(?:^|[^\d])(\d{4})\s+([A-ZÄÖÜ][A-Za-zÄÖÜäöüéèêàâîô\- ]{1,40})", ignore_case=False)
@@ -55,7 +57,7 @@ def extract_opengraph(pages: DataFrame) -> DataFrame:
     Later patterns run only on pages that have a price. ``og`` is a plain struct, so that taking one field of it
     never evaluates the others.
     """
-    staged = pages.withColumn("_visible", visible_text(F.col("html")))
+    staged = pages.withColumn("_visible", F.when(F.col("html").rlike(PRICE_HINT), visible_text(F.col("html"))))
     price_text = F.regexp_extract("_visible", PRICE, 1)
     price = parse_price_like(F.nullif(price_text, F.lit("")))
     staged = staged.withColumn("_price", price)

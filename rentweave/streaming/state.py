@@ -27,6 +27,10 @@ class DeltaLog:
         done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}=*/_SUCCESS"))
         return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in done)
 
+    def finished(self) -> list[int]:
+        """Ids of the batches written in full."""
+        return self._ids("delta")
+
     def _load(self, kind: str, ids: Sequence[int]) -> DataFrame:
         out = None
         for i in ids:
