@@ -279,8 +279,10 @@ DISCOVERY_SUMMARY = with_sql(
     _CANDS_SQL,
     _PROBED_SQL.replace("LIMIT 40", "LIMIT 30").replace("WHERE n < 5", "WHERE FALSE"),
     select="""SELECT 'total_candidates' AS figure, (SELECT count(*) FROM cands) + (SELECT count(*) FROM names) AS n
-UNION ALL SELECT 'already_known', count(*) FROM cands WHERE id IN (SELECT id FROM known)
+UNION ALL SELECT 'already_known', count(*) FROM cands c WHERE id IN (SELECT id FROM known)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT prio, id FROM fresh ORDER BY prio, id LIMIT 1 OFFSET 30) s WHERE s.prio < c.prio OR (s.prio = c.prio AND s.id < c.id))
 UNION ALL SELECT 'probed', count(*) FROM typed
+UNION ALL SELECT 'added', count(*) FROM typed
 UNION ALL SELECT 'platform ' || platform, count(*) FROM typed GROUP BY platform""",
 )
 

@@ -81,17 +81,22 @@ def discover_agencies(
     tried = top_detail_urls(locs)
     probed = C.platform_of_candidate(capped, landed, tried)
     rows = registry_rows(probed, cfg, day)
-    return Discovery(found, probed, write_discovered(existing, rows), summarise(found, existing, names, probed, resolved))
+    return Discovery(found, probed, write_discovered(existing, rows), summarise(found, existing, names, probed, cfg.max_new_probes, resolved))
 
 
 def summarise(
-    found: DataFrame, existing: DataFrame, names: DataFrame, probed: DataFrame, resolved: DataFrame | None = None
+    found: DataFrame, existing: DataFrame, names: DataFrame, probed: DataFrame, most: int, resolved: DataFrame | None = None
 ) -> DataFrame:
-    """One row per figure: totals, then probes by platform."""
+    """One row per figure: totals, then probes by platform. A pass stops at the first new candidate beyond the cap, so known ones
+    after it (by origin, then id) are not counted; every probe adds its row."""
     count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("figure"), "n")
-    known = found.join(existing.select("id"), "id", "left_semi")
+    place = F.struct("prio", "id")
+    ahead = C.probe_cap(C.new_candidates(found, existing), most + 1).agg(F.count(F.lit(1)).alias("ahead"), F.max(place).alias("stop"))
+    known = found.join(existing.select("id"), "id", "left_semi").join(F.broadcast(ahead))
+    known = known.filter((F.col("ahead") <= most) | (place < F.col("stop")))
     total = found.select("id").unionByName(names.select(F.col("legal_name").alias("id")))
     out = count(total, "total_candidates").unionByName(count(known, "already_known")).unionByName(count(probed, "probed"))
+    out = out.unionByName(count(probed, "added"))
     if resolved is not None:
         out = out.unionByName(count(names.join(resolved, "legal_name", "left_anti"), "unresolved"))
     by_platform = probed.groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
