@@ -24,7 +24,7 @@ def collapse_listings(legacy: DataFrame, tie_break: Sequence[str] = ("id",)) ->
             "seen_on_sources": F.array("source"),
         }
     )
-    return merge_listings(rows, ["first_seen_at", *tie_break], lead=F.col("first_seen_at").cast("double"))
+    return merge_listings(rows, ["first_seen_at", *tie_break])
 
 
 def id_map(legacy: DataFrame) -> DataFrame:
