@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentweave.llm.common import staged
+from rentweave.llm.common import small, staged
+
+FEW_COMPONENTS = 500_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,5 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         live = staged(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         turn += 1
     nodes = staged(nodes, "roots")
-    names = nodes.groupBy("at").agg(F.min("node").alias("component"))
-    return nodes.join(names, "at").select("node", "component")
+    # Stored, so that the join need not take the aggregate's partitioning: a large component can be split over tasks.
+    names = staged(nodes.groupBy("at").agg(F.min("node").alias("component")), "names")
+    return nodes.join(small(names, FEW_COMPONENTS), "at").select("node", "component")
