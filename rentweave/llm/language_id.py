@@ -5,7 +5,7 @@ A text is the set of its character n-grams of one to three code points (blended
 in the Nyström space of a fixed number of landmark texts, one output a language (+1 own, -1 others); a batch of texts is
 scored by two matrix products: presence by landmarks, kernel by weights.
 
-The model is fitted on a bounded sample of labelled rows, ``per_language`` texts a language; every text is read whole, in
+The model is fitted on a bounded sample of labelled rows, ``per_language`` different texts a language whatever the size of the input; every text is read whole, in
 training and in prediction. Prediction is a map over rows: no shuffle, memory bounded by a batch of ``BATCH`` texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if no labelled row exists.
@@ -21,13 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rentweave.llm.common import small, staged
+
 BUCKETS = 1 << 16
 GRAMS = 3
 BATCH = 128
+FEW_MARKS = 200_000
 UNKNOWN = "und"
 _WORDY = re.compile(r"[^\W\d_]")
 
@@ -90,16 +93,16 @@ def fit(grid: np.ndarray, labels: list[str], landmarks: int = 128, ridge: float
 
 
 def sample(docs: DataFrame, per_language: int, text: str = "text", lang: str = "lang") -> tuple[np.ndarray, list[str]]:
-    """Gram presence and labels of about ``per_language`` labelled rows a language, chosen by a hash of their text.
+    """Gram presence and labels of the ``per_language`` different texts of least hash in each language (all, where there are fewer).
 
-    At most twice that number comes to the driver for a language, 8 KB each.
+    Copies of one text count once, by a 64-bit hash. The driver gets 8 KB a text.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return np.zeros((0, BUCKETS), bool), []
-    place = F.abs(F.xxhash64("text", F.lit(8)) % 1_000_000)
-    bar = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(1_000_000 * min(1.0, per_language / n)))])
+    rows = rows.withColumn("mark", F.xxhash64("text", F.lit(8)))
+    # Spark applies the constant bound in each task, before hashes meet by language.
+    least = Window.partitionBy("lang").orderBy("mark")
+    marks = rows.select("lang", "mark").distinct().withColumn("k", F.row_number().over(least)).filter(F.col("k") <= per_language)
+    marks = staged(marks.select("lang", "mark"), "sample")
 
     @F.pandas_udf(T.BinaryType())
     def packed(texts: pd.Series) -> pd.Series:
@@ -110,11 +113,11 @@ def sample(docs: DataFrame, per_language: int, text: str = "text", lang: str = "
             out.append(np.packbits(row).tobytes())
         return pd.Series(out)
 
-    few = rows.filter(place < bar[F.col("lang")]).withColumn("place", place)
-    # Copies of one text share a place, so a hot group can pass the bar together: each text counts once.
-    few = few.dropDuplicates(["lang", "place"]).orderBy("place").limit(2 * per_language * len(counts))
-    got = few.select("lang", packed("text").alias("bits"), "place").collect()
-    got.sort(key=lambda r: (r["lang"], r["place"]))
+    few = rows.join(small(marks, FEW_MARKS), ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"])
+    got = few.select("lang", packed("text").alias("bits"), "mark").collect()
+    if not got:
+        return np.zeros((0, BUCKETS), bool), []
+    got.sort(key=lambda r: (r["lang"], r["mark"]))
     grid = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool)
     return grid, [r["lang"] for r in got]
 

@@ -54,3 +54,14 @@ def test_kernel_counts_shared_grams():
             exact = len(grams[a] & grams[b]) / np.sqrt(len(grams[a]) * len(grams[b]))
             assert abs(kernel - exact) < 0.03
     assert model.landmarks.shape[1] == 12 and np.allclose(model.scores(texts[:4]), model.of_presence(grid[:4]))
+
+
+def test_sample_has_the_number_asked_for_whatever_the_size_of_a_language(spark, monkeypatch):
+    # A bar by the number of rows lets half of the texts asked for through here, as every text comes twice.
+    rows = [(i, f"text {i % 3000}", "en" if i % 3000 % 10 else "de") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for few in (I.FEW_MARKS, 0):
+        monkeypatch.setattr(I, "FEW_MARKS", few)
+        grid, labels = I.sample(docs, 250)
+        assert (labels.count("en"), labels.count("de"), len(grid)) == (250, 250, 500)
+    assert sorted(set(I.sample(docs, 400)[1])) == ["de", "en"] and I.sample(docs, 400)[1].count("de") == 300
