@@ -14,8 +14,8 @@ delta encoded. Row groups and pages are kept small, and Parquet writes a column
 Texts are dealt by range of (id, hash of the text), so a third of all rows under one id are spread too, and no task needs more than one slice of texts and its
 own file. Equal rows are dealt by their place in the input.
 
-Tokens come from the tokenizers library, asked once for each different chunk between blanks. That is exact for tokenizers whose splits never
-cross a blank (``BLANKS`` lists what counts as one here); for others pass ``by_chunk=False``, which hands whole texts to the library.
+Tokens come from the tokenizers library, asked once for each different chunk between blanks. That is exact for tokenizers that lower the text, split letters from marks and
+never let a piece cross a blank (``BLANKS`` lists what counts as one here); for others pass ``by_chunk=False``, which hands whole texts to the library.
 
 Defined results: null and empty texts have the end id alone; a null id comes first; documents of one id are ordered by a hash of their text; repeated
 rows are documents of their own; an empty table gives empty tables. Control tokens' strings inside texts are ordinary text.
@@ -45,7 +45,9 @@ BLANKS = " \n"
 #: Parts whose index rows (40 bytes each) may be broadcast.
 FEW_PARTS = 1_000_000
 #: Chunks, and ids of chunks, that a worker keeps before it starts anew.
-KEPT, KEPT_IDS = 400_000, 4 << 20
+KEPT, KEPT_IDS = 600_000, 4 << 20
+#: Chunks handed to the library as one text.
+JOINED = 100
 
 
 class Encoder:
@@ -65,15 +67,22 @@ class Encoder:
         self.starts, self.lens, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
 
     def _learn(self, chunks: list[str]) -> None:
-        for a in range(0, len(chunks), 1000):
-            for chunk, got in zip(chunks[a : a + 1000], self.tool.encode_batch_fast(chunks[a : a + 1000], add_special_tokens=False)):
+        """Ids of new chunks. The library takes JOINED of them as one text; the offsets it gives tell which chunk an id belongs to."""
+        groups = [chunks[a : a + JOINED] for a in range(0, len(chunks), JOINED)]
+        for a in range(0, len(groups), 64):
+            some = groups[a : a + 64]
+            for part, got in zip(some, self.tool.encode_batch([" ".join(g) for g in some], add_special_tokens=False)):
                 ids, at = got.ids, len(self.place)
-                while at >= len(self.starts):
+                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+                begins = np.fromiter((begin for begin, _ in got.offsets), np.int64, len(ids))
+                lens = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(part))
+                while at + len(part) > len(self.starts):
                     self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
                 self.ids[self.used : self.used + len(ids)] = ids
-                self.starts[at], self.lens[at], self.place[chunk] = self.used, len(ids), at
+                self.starts[at : at + len(part)], self.lens[at : at + len(part)] = self.used + np.cumsum(lens) - lens, lens
+                self.place.update(zip(part, range(at, at + len(part))))
                 self.used += len(ids)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +90,11 @@ class Encoder:
         if not self.by_chunk:
             got = [[*x.ids, self.end] for x in self.tool.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in got for i in ids], np.int32), np.array([len(ids) for ids in got], np.int64)
+        # A mark behind a letter or digit begins a piece of its own, so a blank before it changes no id and makes fewer chunks. Capitals are
+        # lowered first where none is followed by a combining mark, with which it might be composed.
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,;:!?])", r"\1 \2")
+        bound = pc.match_substring_regex(texts, r"[A-Z]\p{M}")
+        texts = pc.if_else(bound, texts, pc.ascii_lower(texts))
         for blank in BLANKS[1:]:
             texts = pc.replace_substring(texts, blank, BLANKS[0])
         parts = pc.split_pattern(texts, BLANKS[0])

@@ -19,6 +19,7 @@ ODD = [
     (24, "ÑÉß İ ΣΑΣ Σ ́a é ﬁ ﬁne"),
     (25, "<|endoftext|> and <|startoftext|>x </w>"),
     (-7, "below zero"),
+    (26, "Don't. it's, I'LL. x's.y 9.5 a.b.c H\u0331. H\u0331o K\u0301 A.\u0301 x=\u0338 v.1,2;3:4!5? '.s a'.b end.\nNext.Line Ｆｕｌｌ. É. é."),
 ]
 
 
