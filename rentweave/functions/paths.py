@@ -33,6 +33,11 @@ def resolve_path(schema: T.StructType, path: str) -> Resolved:
     for depth, part in enumerate(path.split(".")):
         if isinstance(kind, T.StructType):
             if part not in kind.names:
+                if depth == 1 and path.startswith("enriched.") and "attrs" in kind.names:
+                    # A portal's own facts, kept by dotted path.
+                    name = path[len("enriched.") :]
+                    held = F.coalesce(F.map_contains_key(value["attrs"], name), F.lit(False))
+                    return Resolved(F.try_element_at(value["attrs"], F.lit(name)), ~held, T.StringType())
                 return Resolved(F.lit(None), F.lit(True), T.NullType())
             if value is not None:
                 missing = missing | value.isNull()

@@ -48,6 +48,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The table as written into the checkpoint folder: a lost executor costs a read of it, not the work that led to it."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Hash a scan that comes as fewer splits than there are cores (one small file) over all of them.
 
