@@ -24,6 +24,7 @@ rows are documents of their own; an empty table gives empty tables. Control toke
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -60,6 +61,12 @@ class Encoder:
         self.tool = Tokenizer.from_str(raw.decode("utf-8"))
         self.tool.encode_special_tokens = True
         self.end, self.by_chunk = end, by_chunk
+        suffix = json.loads(raw)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocabulary = self.tool.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -67,23 +74,36 @@ class Encoder:
         self.starts, self.lens, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks. The library takes JOINED of them as one text; the offsets it gives tell which chunk an id belongs to."""
-        groups = [chunks[a : a + JOINED] for a in range(0, len(chunks), JOINED)]
-        for a in range(0, len(groups), 64):
-            some = groups[a : a + 64]
-            for part, got in zip(some, self.tool.encode_batch([" ".join(g) for g in some], add_special_tokens=False)):
-                ids, at = got.ids, len(self.place)
-                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-                begins = np.fromiter((begin for begin, _ in got.offsets), np.int64, len(ids))
-                lens = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(part))
-                while at + len(part) > len(self.starts):
-                    self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.starts[at : at + len(part)], self.lens[at : at + len(part)] = self.used + np.cumsum(lens) - lens, lens
-                self.place.update(zip(part, range(at, at + len(part))))
-                self.used += len(ids)
+        """Ids of new chunks. The library takes JOINED of them as one text. Chunks of letters alone are one word each, whose last id is one that ends
+        words; for others the offsets that the library gives tell which chunk an id belongs to."""
+        words = [x for x in chunks if self.ends is not None and x.isalpha() and "\u0130" not in x]  # its lower case has a mark
+        rest = chunks if self.ends is None else [x for x in chunks if not x.isalpha() or "\u0130" in x]
+        for some, by_end in ((words, True), (rest, False)):
+            groups = [some[a : a + JOINED] for a in range(0, len(some), JOINED)]
+            encode = self.tool.encode_batch_fast if by_end else self.tool.encode_batch
+            for a in range(0, len(groups), 64):
+                texts = [" ".join(g) for g in groups[a : a + 64]]
+                for part, got in zip(groups[a : a + 64], encode(texts, add_special_tokens=False)):
+                    ids = np.array(got.ids, np.int32)
+                    if by_end:
+                        lens = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                        assert len(lens) == len(part), "a chunk of letters is not one word"
+                    else:
+                        stops = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+                        begins = np.fromiter((begin for begin, _ in got.offsets), np.int64, len(ids))
+                        lens = np.bincount(np.searchsorted(stops, begins, "right"), minlength=len(part))
+                    self._keep(part, ids, lens)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        at = len(self.place)
+        while at + len(chunks) > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + len(chunks)], self.lens[at : at + len(chunks)] = self.used + np.cumsum(lens) - lens, lens
+        self.place.update(zip(chunks, range(at, at + len(chunks))))
+        self.used += len(ids)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each text's number of ids); every text ends with the end id."""
