@@ -82,3 +82,15 @@ def commute_minutes(target: str, mode: str) -> Column:
     """Minutes of the commute cell, null when any level is absent."""
     cell = F.try_element_at(F.try_element_at(F.col("enriched.commute"), F.lit(target)), F.lit(mode))
     return cell.getField("duration_min").cast("double")
+
+
+def nesting(text: Column) -> Column:
+    """Greatest nesting of objects and arrays in a JSON text."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
+
+    marks = F.filter(F.split(bare, ""), lambda c: c != "")
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda s: s["top"])

@@ -1,20 +1,20 @@
 """Linked-data blocks in HTML pages.
 
-Blocks are cut out by the JVM; a small Arrow-batched function walks each page's blocks depth first. The walk is in
-Python because VARIANT keeps object keys sorted, which loses the order of encounter that ties depend on.
+Blocks are cut out and walked by column functions. VARIANT keeps object keys sorted, so it only tells what kind a value is; the order of
+encounter, which ties depend on, comes from the members of an object as a map of texts, which stay as written. Every node
+has the places on the way to it (`pos`), and sorting by them gives the depth-first order.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rentweave import schema as S
 from rentweave.functions.numbers import to_number
+from rentweave.functions.paths import nesting
 from rentweave.functions.plan import keep_where
 from rentweave.functions.text import html_entity_decode
 from rentweave.functions.urls import listing_id_from_url
@@ -24,61 +24,94 @@ LD_BLOCK = r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>((?s:.)*?)
 ANCHOR_TYPES = ["RealEstateListing", "Apartment", "House", "SingleFamilyResidence", "Residence", "Accommodation"]
 AUX_TYPES = ["Offer", "UnitPriceSpecification", "PriceSpecification", "PostalAddress", "GeoCoordinates"]
 DETAIL_TYPES = ["RealEstateListing", "Apartment", "House", "Residence"]
-NODES_DDL = "ARRAY<STRUCT<block: INT, type: STRING, node: STRING>>"
+# Kinds of VARIANT values that are numbers.
+NUMBERS = r"^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"
+NODE_DDL = "STRUCT<pos: ARRAY<INT>, text: STRING>"
+FOUND_DDL = "STRUCT<pos: ARRAY<INT>, type: STRING, node: STRING>"
 
 
-def _no_constant(name: str):
-    raise ValueError(f"{name} is not JSON")
+def lenient_json(spark: SparkSession) -> None:
+    """An object may name a key twice; the last value counts, as in other JSON readers."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def _parse(text: str):
-    try:
-        return json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return None
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing behind it."""
+    return F.coalesce(F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "ARRAY<VARIANT>")) == 1, F.lit(False))
 
 
-def _objects(root):
-    """Every object under ``root``, parents first, siblings in order."""
-    stack = [root]
-    while stack:
-        here = stack.pop()
-        if isinstance(here, dict):
-            yield here
-            stack.extend(reversed(list(here.values())))
-        elif isinstance(here, list):
-            stack.extend(reversed(here))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _lower_first(value):
-    """Keys to lower camel case, ``@`` keys as they are."""
-    if isinstance(value, dict):
-        return {k if k.startswith("@") else k[:1].lower() + k[1:]: _lower_first(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_lower_first(v) if isinstance(v, dict) else v for v in value]
-    return value
+def _is_container(v: Column) -> Column:
+    return F.schema_of_variant(v).rlike("^(?:OBJECT|ARRAY)")
 
 
-def _typed_nodes(blocks, wanted: frozenset, lower: bool) -> list[dict]:
-    out = []
-    for number, text in enumerate(blocks if blocks is not None else []):
-        for node in _objects(_parse(text)):
-            kind = node.get("@type")
-            if isinstance(kind, str) and kind in wanted:
-                shown = _lower_first(node) if lower else node
-                out.append({"block": number, "type": kind, "node": json.dumps(shown, ensure_ascii=False)})
-    return out
+def _members(node: Column) -> Column:
+    """Objects and arrays directly inside an object or array, in order."""
 
+    def place(key: Column, i: Column) -> Column:
+        # Keys that are whole numbers come first, by size.
+        return F.when(key.rlike("^(?:0|[1-9][0-9]{0,8})$"), key.try_cast("int") - 1_000_000_000).otherwise(i)
 
-def walk_jsonld(blocks: Column, types: list[str], lower: bool = False) -> Column:
-    """Typed nodes of a page's blocks in order of encounter; blocks that do not parse are ignored."""
-    wanted = frozenset(types)
+    def of_object(parts: Column) -> Column:
+        def member(key: Column, i: Column) -> Column:
+            same = F.filter(parts["entries"], lambda e: e["key"] == key)
+            text = F.element_at(same, -1)["value"]
+            held = F.coalesce(_is_container(F.try_element_at(parts["kinds"], key)), F.lit(False))
+            return F.when(held, F.struct(F.concat(node["pos"], F.array(place(key, i))).alias("pos"), text.alias("text")))
 
-    @F.pandas_udf(NODES_DDL)
-    def walk(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: _typed_nodes(b, wanted, lower))
+        return F.transform(F.array_distinct(F.transform(parts["entries"], lambda e: e["key"])), member)
 
-    return walk(blocks)
+    def of_array(parts: Column) -> Column:
+        def member(text: Column, i: Column) -> Column:
+            return F.when(_is_container(F.get(parts["kinds"], i)), F.struct(F.concat(node["pos"], F.array(i)).alias("pos"), text.alias("text")))
+
+        return F.transform(parts["texts"], member)
+
+    v = F.try_parse_json(node["text"])
+    entries = F.map_entries(F.from_json(node["text"], "MAP<STRING, STRING>"))
+    members = F.struct(entries.alias("entries"), F.try_variant_get(v, "$", "MAP<STRING, VARIANT>").alias("kinds"))
+    items = F.struct(F.from_json(node["text"], "ARRAY<STRING>").alias("texts"), F.try_variant_get(v, "$", "ARRAY<VARIANT>").alias("kinds"))
+    inside = F.when(F.ltrim(node["text"]).startswith("{"), _bound(members, of_object)).otherwise(_bound(items, of_array))
+    return F.coalesce(F.array_compact(inside), F.array().cast(f"ARRAY<{NODE_DDL}>"))
+
+
+def walk_json(texts: Column, label: Callable[[Column], Column]) -> Column:
+    """Objects of an array of JSON texts that ``label(text)`` gives a type, as (pos, type, node), depth first; the first
+    place in ``pos`` is that of the text. Texts that do not parse are ignored."""
+    roots = F.transform(texts, lambda t, i: F.struct(F.array(i).alias("pos"), t.alias("text")))
+    roots = F.filter(roots, lambda n: whole_json(n["text"]))
+    depth = F.array_max(F.transform(texts, nesting))
+
+    def step(state: Column, _: Column) -> Column:
+        hits = F.transform(state["open"], lambda n: F.struct(n["pos"].alias("pos"), label(n["text"]).alias("type"), n["text"].alias("node")))
+        found = F.concat(state["found"], F.filter(hits, lambda h: h["type"].isNotNull()))
+        return F.struct(F.flatten(F.transform(state["open"], _members)).alias("open"), found.cast(f"ARRAY<{FOUND_DDL}>").alias("found"))
+
+    start = F.struct(roots.cast(f"ARRAY<{NODE_DDL}>").alias("open"), F.array().cast(f"ARRAY<{FOUND_DDL}>").alias("found"))
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("ARRAY<INT>"))
+    return F.array_sort(F.aggregate(rounds, start, step, lambda s: s["found"]))
+
+
+def walk_jsonld(blocks: Column, types: list[str]) -> Column:
+    """Typed nodes of a page's blocks in order of encounter, as (block, type, node)."""
+
+    def label(text: Column) -> Column:
+        # Cheap look at the text first: most nodes have none of the types.
+        kind = _bound(F.try_variant_get(F.try_parse_json(text), "$['@type']", "variant"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+        return F.when(text.contains("@type") & kind.isin(types), kind)
+
+    nodes = walk_json(blocks, label)
+    return F.transform(nodes, lambda n: F.struct(F.get(n["pos"], 0).alias("block"), n["type"].alias("type"), n["node"].alias("node")))
+
+
+def lower_first(text: Column) -> Column:
+    """Keys of a JSON text to lower camel case. A key is a string behind ``{`` or ``,`` and before a colon."""
+    pieces = F.split(text, r'(?<=[{,]\s{0,64}")(?=\p{Lu}[^"\\]*"\s*:)')
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i > 0, F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)), "")
 
 
 def last_typed_node(nodes: Column) -> Column:
@@ -88,23 +121,20 @@ def last_typed_node(nodes: Column) -> Column:
     return F.get(inside, F.size(inside) - 1)["node"]
 
 
-@F.pandas_udf(T.StringType())
-def first_shaped_node(roots: pd.Series) -> pd.Series:
+def first_shaped_node(root: Column) -> Column:
     """First object that looks like a listing: numeric rooms or price fields."""
 
-    def number(value) -> bool:
-        return isinstance(value, (int, float)) and not isinstance(value, bool)
-
-    def shaped(o: dict) -> bool:
-        if any(number(o.get(k)) for k in ("numberOfRooms", "rooms", "priceUnformatted")):
-            return True
-        return number(o.get("grossPrice")) and number(o.get("surfaceLiving"))
+    def label(text: Column) -> Column:
+        def shaped(v: Column) -> Column:
+            number = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).rlike(NUMBERS), F.lit(False))
+            either = number("numberOfRooms") | number("rooms") | number("priceUnformatted")
+            return F.when(either | (number("grossPrice") & number("surfaceLiving")), F.lit("listing"))
 
-    def find(text):
-        hit = next((o for o in _objects(_parse(text)) if shaped(o)), None) if isinstance(text, str) else None
-        return None if hit is None else json.dumps(hit, ensure_ascii=False)
+        names = "[rR]ooms|priceUnformatted|grossPrice"
+        return F.when(text.rlike(names), _bound(F.try_parse_json(text), shaped))
 
-    return roots.map(find)
+    nodes = walk_json(F.when(root.isNotNull(), F.array(root)).otherwise(F.array().cast("ARRAY<STRING>")), label)
+    return F.get(nodes, 0)["node"]
 
 
 def blocks_of(html: Column) -> Column:
@@ -114,7 +144,8 @@ def blocks_of(html: Column) -> Column:
 
 
 def with_nodes(pages: DataFrame, types: list[str], out: str = "_nodes") -> DataFrame:
-    """Add the typed nodes of ``html``. Only the blocks cross to Python, never whole pages."""
+    """Add the typed nodes of ``html``."""
+    lenient_json(pages.sparkSession)
     return pages.withColumn(out, walk_jsonld(blocks_of(F.col("html")), types))
 
 
@@ -146,7 +177,9 @@ def scan_product_pages(pages: DataFrame, *keep: str) -> DataFrame:
     # Decode once per block, before parsing, as the escapes sit inside JSON text.
     joined = F.array_join("_blocks", "\u0000")
     staged = staged.withColumn("_blocks", F.split(html_entity_decode(joined), "\u0000"))
-    staged = staged.withColumn("_nodes", walk_jsonld(F.col("_blocks"), ["Product", "Residence"], lower=True))
+    lenient_json(pages.sparkSession)
+    lowered = F.transform("_blocks", lower_first)
+    staged = staged.withColumn("_nodes", walk_jsonld(lowered, ["Product", "Residence"]))
 
     def last(kind: str) -> Column:
         hits = F.filter("_nodes", lambda n: n["type"] == kind)
