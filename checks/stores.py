@@ -375,50 +375,7 @@ def repoint_failures(spark: SparkSession, sf: str) -> DataFrame:
     return K.repoint_failures(rows, _ids(spark, sf)).select("listing_id", "o_orderkey")
 
 
-def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The order-line file as a stream, folded batch by batch into the listing log."""
-    import uuid
-
-    from rentweave.functions.normalize import Band, Step
-    from rentweave.operators.gate import RentalPolicy
-    from rentweave.operators.scoring import Dim
-    from rentweave.plans.run_scan import ScanConfig
-    from rentweave.session import checkpoint_root, pin_utc
-    from rentweave.streaming.scan import ScanState, start_scan, stream_files
-
-    pin_utc(spark)
-    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    line = table(spark, sf, "lineitem")
-    files = stream_files(spark, sf, line.schema, "parquet", glob="lineitem.parquet")
-    cfg = ScanConfig(RentalPolicy("long"), [], [Dim("any", 1, "rooms", Step([Band(9, otherwise=True)]))])
-    state = ScanState.at(spark, root)
-
-    def mapper(batch: DataFrame) -> DataFrame:
-        ordered = batch.drop("position").orderBy(*ARRIVAL).withColumn("position", F.monotonically_increasing_id())
-        rows = raw_listings(spark, sf, ordered.select(*ARRIVAL, "position"), "position")
-        return rows.drop("canonical_key", "source_priority", "seen_on_sources")
-
-    query = start_scan(files, mapper, state, cfg, root + "/checkpoint", clock=lambda: F.lit(datetime(2003, 1, 1)))
-    query.awaitTermination()
-    out = state.listings.read()
-    return out.select(
-        "canonical_key", "source", "url", "source_priority", F.col("price.rent_net").alias("rent_net"), "floor", "agency", "rental_term",
-        F.date_format("first_seen_at", DAY).alias("first_seen"), F.array_join("seen_on_sources", " ").alias("seen_on_sources"),
-    )
-
-
-STREAM_MERGE = with_sql(
-    RAW_SQL,
-    FOLD_SQL,
-    """
-seen AS (SELECT canonical_key, string_agg(DISTINCT source, ' ' ORDER BY source) AS seen_on_sources FROM raw_listings GROUP BY ALL)""",
-    recursive=True,
-    select="""SELECT canonical_key, source, url, source_priority, rent_net, floor_no AS floor, agency, rental_term,
-  strftime(first_seen_at, '%Y-%m-%d') AS first_seen, seen_on_sources FROM fold JOIN seen USING (canonical_key) WHERE step = n_rows""",
-)
-
 QUERIES = {
-    "stream_merge": (stream_merge, STREAM_MERGE),
     "latest_score": (latest_score, with_sql(SCORES_SQL, select="SELECT listing_id, final, strftime(scored_at, '%Y-%m-%d') AS scored_at FROM latest")),
     "list_listings": (list_listings, LIST_LISTINGS),
     "list_unscored": (list_unscored, LIST_UNSCORED),
