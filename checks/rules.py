@@ -309,7 +309,41 @@ timed AS (SELECT *, CAST(epoch_us(lease_until) - epoch_us(available_from) AS DOU
   WHEN months > 30.5 THEN 'duration ' || printf('%.1f', months) || 'mo > max_months 30.5' END AS gate_reason FROM timed""",
 )
 
+ERROR_RULES = [
+    ExprRule("price.total / (l_linenumber - 2) > 0", on_missing="pass"),
+    ExprRule("CAST(split(url, '-')[4] AS INT) < 9000 AND photos[1] IS NOT NULL", on_missing="skip"),
+    ExprRule("element_at(features, 'bathrooms') || 'x'", on_missing="pass"),
+    ExprRule("CAST(location.city AS INT) = 1", on_missing="pass"),
+    ExprRule("make_date(2000, 1, l_linenumber * 10) >= DATE'2000-01-01'", on_missing="fail"),
+    ExprRule("l_linenumber - 3"),
+]
+ERROR_DIMS = [
+    Dim("rate", 1, "=l_partkey / (l_linenumber % 3)", Step([Band(10, gte=20), Band(5, otherwise=True)]), on_missing="skip_dim"),
+    Dim("code", 1, "=CAST(substring(location.city, 5) AS INT) / (l_suppkey % 4)", Step([Band(10, gte=2), Band(5, otherwise=True)]), on_missing="fail"),
+]
+
+
+def expr_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Expressions that throw in some rows: rules follow ``on_missing`` there, metrics fail the row alone."""
+    rows = evaluate_filters(raw_listings(spark, sf), ERROR_RULES)
+    scored = score_listing(rows, ERROR_DIMS)
+    return scored.select("url", "reject_reason", "final", "score_error")
+
+
+EXPR_ERRORS = with_sql(
+    RAW_SQL,
+    select="""SELECT url, CASE WHEN l_linenumber = 1 THEN 'expr false: price.total / (l_linenumber - 2) > 0'
+    WHEN len(photos) < 2 THEN 'expr false: CAST(split(url, ''-'')[4] AS INT) < 9000 AND photos[1] IS NOT NULL'
+    WHEN l_linenumber * 10 > 31 THEN 'expr resolved to undefined: make_date(2000, 1, l_linenumber * 10) >= DATE''2000-01-01'''
+    WHEN l_linenumber = 3 THEN 'expr false: l_linenumber - 3' END AS reject_reason,
+  CASE WHEN city IS NOT NULL AND l_suppkey % 4 <> 0 THEN CAST(floor((CASE WHEN l_linenumber % 3 = 0 THEN code ELSE (rate + code) / 2 END) * 100 + 0.5) AS INTEGER) END AS final,
+  CASE WHEN city IS NULL OR l_suppkey % 4 = 0 THEN 'missing metric =CAST(substring(location.city, 5) AS INT) / (l_suppkey % 4) for dim code' END AS score_error
+FROM (SELECT *, CASE WHEN l_partkey / nullif(l_linenumber % 3, 0) >= 20 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS rate,
+  CASE WHEN CAST(city[5:] AS INT) / nullif(l_suppkey % 4, 0) >= 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS code FROM raw_listings)""",
+)
+
 QUERIES = {
+    "expr_errors": (expr_errors, EXPR_ERRORS),
     "evaluate_filters": (_reasons(RULES), EVALUATE_FILTERS),
     "expr_and_commute_rules": (_reasons(SOFT_RULES), SOFT_FILTERS),
     "field_rule_ops": (field_ops, FIELD_OPS),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from rentweave.functions.normalize import Categorical, Linear, Sigmoid, Step
 from rentweave.functions.numbers import round_half_up
 from rentweave.functions.paths import commute_minutes, json_number, json_string, resolve_path
+from rentweave.functions.plan import with_expressions
 
 Normalizer = Linear | Step | Sigmoid | Categorical
 
@@ -46,14 +47,18 @@ class Dim:
             raise ValueError(f"weight of {self.name!r} must be positive")
 
 
+def _held(dim: Dim) -> str:
+    return f"_metric_{dim.name}"
+
+
 def _metric(df: DataFrame, dim: Dim) -> tuple[Column, Column, T.DataType]:
     """Value, whether it is missing, and its type."""
     if isinstance(dim.metric, Commute):
         minutes = commute_minutes(dim.metric.target, dim.metric.mode)
         return minutes, minutes.isNull(), T.DoubleType()
     if dim.metric.startswith("="):
-        value = F.expr(dim.metric[1:])
-        return value, value.isNull(), df.select(value.alias("m")).schema["m"].dataType
+        value = F.col(_held(dim))
+        return value, value.isNull(), df.schema[_held(dim)].dataType
     r = resolve_path(df.schema, dim.metric)
     if r.json_text:
         # An open map's value: as text for lookups, as a number for curves.
@@ -69,8 +74,10 @@ def score_listing(df: DataFrame, dims: Sequence[Dim]) -> DataFrame:
     """Add ``final`` (0-100), ``breakdown`` (name -> [0, 1]) and ``score_error``.
 
     A missing metric of a ``fail`` dimension leaves ``final`` null and names the dimension in ``score_error``;
-    the row belongs in the failure log.
+    the row belongs in the failure log. An expression that throws in a row is missing there, and only there.
     """
+    texts = {_held(d): d.metric[1:] for d in dims if isinstance(d.metric, str) and d.metric.startswith("=")}
+    df = with_expressions(df, texts)
     total, weight = F.lit(0.0), F.lit(0.0)
     entries, errors = [], []
     for dim in dims:
@@ -100,7 +107,7 @@ def score_listing(df: DataFrame, dims: Sequence[Dim]) -> DataFrame:
             "final": F.when(F.col("score_error").isNull(), final.cast("int")),
             "breakdown": F.when(F.col("score_error").isNull(), F.map_from_entries(kept)),
         }
-    ).drop("_total", "_weight")
+    ).drop("_total", "_weight", *texts)
 
 
 def above_threshold(df: DataFrame, threshold: float = 75) -> DataFrame:
