@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rentweave.functions.plan import keep_where
 from rentweave.llm.common import small, staged
 
 LEAST, WIDE, DEPTH = 3, 8, 2
@@ -53,8 +54,10 @@ def template_keys(line: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_docs: int, keep_first: bool, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(m1, m2, drops): places of the lines to drop in each text that loses any."""
     body = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    lines = body.select("id", *_marks("text"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = staged(lines.select("id", "m1", "m2", "at", template_keys(F.col("line")).alias("keys")).filter("size(keys) > 0"), "lines")
+    # Marks are made before the lines are dealt out, so a text is hashed once and does not travel with each of its lines.
+    lines = body.select("id", *_marks("text"), F.split("text", "\n").alias("lines")).select("id", "m1", "m2", F.posexplode("lines").alias("at", "line"))
+    keyed = lines.select("id", "m1", "m2", "at", template_keys(F.col("line")).alias("keys"))
+    lines = staged(keep_where(keyed, F.size("keys") > 0), "lines")
     held = lines.select("id", "m1", "m2", F.explode("keys").alias("key"))
     held = held.groupBy("key", "m1", "m2").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id")).alias("id"))
     first = F.min(F.struct("id", "m1", "m2")).alias("first")
@@ -78,9 +81,13 @@ def drop_templates(
     drops = dropped_lines(docs, min_docs, keep_first, text, id_column)
     body = docs.select(F.struct("*").alias("doc"), *_marks(text))
     body = body.join(small(drops, FEW_DOCS), ["m1", "m2"], "left")
-    lines = F.split(F.col("doc")[text], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
-    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    # The lines are bound once and used for every place that stays.
+    left = F.get(F.transform(F.array(F.split(F.col("doc")[text], "\n")), without), 0)
     return body.select(F.col("doc").withField(text, F.when(F.col("drops").isNull(), F.col("doc")[text]).otherwise(left)).alias("doc"), "drops")
 
 

@@ -61,3 +61,21 @@ def test_variable_words_share_a_template_and_copies_stay(spark):
 def test_no_documents(spark):
     docs = documents(spark, [])
     assert L.dedup_lines(docs).collect() == [] and L.dedup_lines(docs).columns == docs.columns
+
+
+def test_texts_of_many_lines(spark):
+    lines = [f"line of words {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10 % 10]} and more" for i in range(20_000)]
+    texts = [(i, "\n".join([*lines, f"own words {'xyzw'[i]} only here"])) for i in range(4)]
+    assert plain(L.dedup_lines(documents(spark, texts)), "doc_id", "text") == brute(texts)
+
+
+def test_keys_are_made_once_a_line(spark):
+    docs = documents(spark, BOILER)
+    plans = []
+    keep = L.staged
+    try:
+        L.staged = lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name)
+        L.dropped_lines(docs, 3, True)
+    finally:
+        L.staged = keep
+    assert plans[0].count("xxhash64(odd") == 1 and "text" not in plans[0].split("Generate")[0]
