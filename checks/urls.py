@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.text import TEXT_SQL, listing_text
@@ -281,7 +281,71 @@ def locs_and_robots(spark: SparkSession, sf: str) -> DataFrame:
 LOCS_AND_ROBOTS = r"""WITH s AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS site FROM pages)
 SELECT page_id, site, url AS locs, 'https://' || site || '/s.xml' AS sitemap FROM s"""
 
+
+def _site_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten pages make a site: indexes that nest, point to themselves or to nothing, url sets and a page that is no sitemap."""
+    pages = table(spark, sf, "pages").select("page_id")
+    k = F.col("page_id") % 10
+    near = lambda i: _map_url(F.col("page_id") - k + i)
+    locs = (
+        F.when(k == 0, F.array(*[near(i) for i in range(1, 7)]))
+        .when(k == 2, F.array(near(7), near(2), near(8)))
+        .when(k == 6, F.array(near(9), near(9)))
+        .when(k == 9, F.array(near(9), near(7), near(3)))
+        .otherwise(F.array(*[F.concat(_map_url(F.col("page_id")), F.lit(f"/objekt-1{i}")) for i in range(2)], near(5)))
+    )
+    kind = F.when(k.isin(0, 2, 6, 9), "sitemapindex").when(k == 4, "html").otherwise("urlset")
+    text = F.array_join(F.transform(locs, lambda u: F.concat(F.lit("<url><loc> "), u, F.lit("\n</loc></url>"))), "")
+    xml = F.concat(F.lit("<"), kind, F.lit(">"), text, F.lit("</"), kind, F.lit(">"))
+    site = F.floor(F.col("page_id") / 10)
+    # Every third site has none of the children of its index landed.
+    landed = (k != 3) & ((site % 3 != 0) | (k == 0))
+    return pages.select(site.alias("site"), k.alias("k"), _map_url(F.col("page_id")).alias("url"), F.when(landed, xml).alias("xml"))
+
+
+def _map_url(page: Column) -> Column:
+    tail = F.get(F.array(*[F.lit(t) for t in TAILS]), (page % len(TAILS)).cast("int"))
+    return F.concat(F.lit("https://s"), page.cast("string"), F.lit(".example"), tail)
+
+
+def expand_sitemap_index(spark: SparkSession, sf: str) -> DataFrame:
+    maps = _site_maps(spark, sf)
+    found = M.expand_sitemap_index(maps.filter("k = 0").select("site", "url"), maps.filter("xml IS NOT NULL").select("url", "xml"))
+    turn = F.row_number().over(Window.partitionBy("site").orderBy("position"))
+    return found.select("site", "loc", turn.alias("at"))
+
+
+def _map_url_sql(page: str) -> str:
+    return f"('https://s' || CAST({page} AS VARCHAR) || '.example' || ({_TAILS_SQL})[({page}) % {len(TAILS)} + 1])"
+
+
+def _near_sql(*places: int) -> str:
+    return "[" + ", ".join(_map_url_sql(f"page_id - k + {i}") for i in places) + "]"
+
+
+def _level_sql(n: int) -> str:
+    return f"""
+c{n + 1} AS (SELECT n.site, b.child AS url, list_concat([1], n.place, [b.rank]) AS place FROM n{n} n JOIN best b USING (url)),
+n{n + 1} AS (SELECT site, url, list_concat([0], place) AS place FROM n{n} n JOIN maps m USING (site, url) WHERE kind <> 'sitemapindex' OR site NOT IN (SELECT site FROM c{n + 1})
+  UNION ALL SELECT * FROM c{n + 1})"""
+
+
+EXPAND_SITEMAP_INDEX = f"""WITH maps AS (SELECT page_id // 10 AS site, page_id, k, {_map_url_sql("page_id")} AS url,
+  CASE WHEN k IN (0, 2, 6, 9) THEN 'sitemapindex' WHEN k = 4 THEN 'html' ELSE 'urlset' END AS kind,
+  CASE k WHEN 0 THEN {_near_sql(1, 2, 3, 4, 5, 6)} WHEN 2 THEN {_near_sql(7, 2, 8)} WHEN 6 THEN {_near_sql(9, 9)} WHEN 9 THEN {_near_sql(9, 7, 3)}
+    ELSE [{_map_url_sql("page_id")} || '/objekt-10', {_map_url_sql("page_id")} || '/objekt-11', {_near_sql(5)}[1]] END AS locs
+  FROM (SELECT page_id, page_id % 10 AS k FROM pages) WHERE k <> 3 AND ((page_id // 10) % 3 <> 0 OR k = 0)),
+linked AS (SELECT site, url AS owner, unnest(locs) AS url, unnest(range(len(locs))) AS i FROM maps WHERE kind = 'sitemapindex'),
+tailed AS (SELECT DISTINCT url, 0 AS page_id FROM linked),{SCORED_SQL},
+best AS (SELECT owner AS url, child, rank FROM (SELECT l.site, l.owner, l.url AS child, row_number() OVER (PARTITION BY l.owner ORDER BY s.score DESC, l.i) - 1 AS rank
+  FROM linked l JOIN detail_scores s ON s.url = l.url) WHERE rank < 3 AND child IN (SELECT url FROM maps WHERE kind <> 'html')),
+n0 AS (SELECT site, url, CAST([] AS BIGINT[]) AS place FROM maps WHERE k = 0),{_level_sql(0)},{_level_sql(1)},
+found AS (SELECT n.site, unnest(m.locs) AS loc, n.place, unnest(range(len(m.locs))) AS i FROM n2 n JOIN maps m ON m.url = n.url),
+firsts AS (SELECT site, loc, min(row(place, i)) AS position FROM found GROUP BY ALL)
+SELECT site, loc, CAST(row_number() OVER (PARTITION BY site ORDER BY position) AS INTEGER) AS at FROM firsts"""
+
 QUERIES = {
+    "expand_sitemap_index": (expand_sitemap_index, EXPAND_SITEMAP_INDEX),
     "normalise_candidate": (candidates_of_pages, CANDIDATES_OF_PAGES),
     "blocked_hosts": (blocked_hosts, BLOCKED_HOSTS),
     "score_detail_url": (detail_scores, DETAIL_SCORES),

@@ -61,5 +61,31 @@ def top_detail_urls(locs: DataFrame, site: str = "site", limit: int = 3, positio
     return picked.filter(good | (F.col("rank") == 1))
 
 
+def expand_sitemap_index(starts: DataFrame, sitemaps: DataFrame, levels: int = 2, fan_out: int = 3) -> DataFrame:
+    """(site, loc, position): the distinct URLs that each site's sitemap leads to, in order of encounter.
+
+    ``starts(site, url)`` names a sitemap for each site, ``sitemaps(url, xml)`` are landed texts. A sitemap index gives way to its ``fan_out`` best children
+    (by `score_detail_url`, ties in order) that are landed and are sitemaps, ``levels`` times at most, so cycles end. Where none of a site's
+    indexes has such a child, or an index is left after the last level, its own URLs count. Sites whose first sitemap is not landed have no rows.
+    """
+    locs = extract_locs(F.col("xml"))
+    ranked = F.array_sort(F.transform("locs", lambda u, i: F.struct((-score_detail_url(u)).alias("worse"), i.alias("i"), u.alias("url"))))
+    landed = sitemaps.groupBy("url").agg(F.min("xml").alias("xml"))
+    facts = landed.select(F.col("url").alias("_url"), F.col("xml").rlike("(?i)<sitemapindex").alias("index"), F.col("xml").rlike("(?i)<urlset|<sitemapindex").alias("valid"), locs.alias("locs"))
+    facts = facts.withColumn("best", F.when(F.col("index"), F.transform(F.slice(ranked, 1, fan_out), lambda x: x["url"])))
+    place = F.array().cast("ARRAY<INT>")
+    now = starts.select("site", F.col("url").alias("_url"), place.alias("place")).join(facts, "_url")
+    for _ in range(levels):
+        children = now.filter("index").select("site", "place", F.posexplode("best").alias("rank", "_url"))
+        children = children.select("site", "_url", F.concat(F.array(F.lit(1)), "place", F.array("rank")).alias("place"))
+        fetched = children.join(facts.filter("valid"), "_url")
+        # A site none of whose indexes leads on stays as it is.
+        moved = fetched.select("site").distinct().withColumn("moved", F.lit(True))
+        stay = now.join(moved, "site", "left").filter(~F.col("index") | F.col("moved").isNull()).drop("moved")
+        now = stay.withColumn("place", F.concat(F.array(F.lit(0)), "place")).unionByName(fetched)
+    found = now.select("site", "place", F.posexplode("locs").alias("at", "loc"))
+    return found.groupBy("site", "loc").agg(F.min(F.struct("place", "at")).alias("position"))
+
+
 def with_site(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("site", host_of(F.col(url)))
