@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentweave.functions.keys import listing_key
+from rentweave.operators.enricher import ERRORS, ERRORS_DDL
 from rentweave.operators.filters import Rule, evaluate_filters
 from rentweave.operators.gate import RentalPolicy, rental_term_gate
 from rentweave.operators.merge import KEY, MAP_PARTS, SCALAR_LEAVES, merge_history, nested_columns
@@ -18,6 +19,7 @@ from rentweave.operators.scoring import Dim, score_listing
 from rentweave.operators.skew import HotKeys, find_hot_keys
 from rentweave.operators.upsert import merge_upsert
 from rentweave.schema import LISTING_FIELDS, null_of
+from rentweave.session import cut_lineage
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -109,16 +111,26 @@ def score_versions(
     now: Column,
     stored: DataFrame | None = None,
     hot: HotKeys | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Changed versions that pass the gate and the rules, scored (slim rows), and the commutes enrichers found."""
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Changed versions that pass the gate and the rules, scored (slim rows), the commutes enrichers found, and what enrichers failed on."""
     seen = versions(arrivals, stored, order, hot).filter("changed OR is_new")
-    commutes = None
+    commutes = troubles = None
     if cfg.enrichers:
-        fresh = seen.filter("is_new")
+        fresh, broken = seen.filter("is_new"), []
         for enrich in cfg.enrichers:
-            fresh = enrich(fresh)
+            try:
+                fresh = enrich(fresh)
+            except Exception as problem:  # one that can't even be planned; listings go on without it
+                broken.append((getattr(enrich, "__name__", "enricher"), f"{type(problem).__name__}: {problem}"))
+        errors = F.col(ERRORS) if ERRORS in fresh.columns else null_of(ERRORS_DDL)
+        # Enrichers are asked once; both their finds and their failures come from what they said.
+        said = cut_lineage(fresh.select(KEY, F.col("enriched.commute").alias("_commute"), errors.alias(ERRORS)))
         # What the first version got stays with the key.
-        commutes = fresh.select(KEY, F.col("enriched.commute").alias("_commute")).filter("_commute IS NOT NULL")
+        commutes = said.select(KEY, "_commute").filter("_commute IS NOT NULL")
+        troubles = said.select(F.col(KEY).alias("listing_id"), F.explode(ERRORS).alias("e")).select("e.plugin", "listing_id", "e.message")
+        if broken:
+            whole = [(plugin, None, message) for plugin, message in broken]
+            troubles = troubles.unionByName(said.sparkSession.createDataFrame(whole, "plugin STRING, listing_id STRING, message STRING"))
     known = commutes
     if stored is not None:
         # A listing keeps the commute it was stored with, whether or not an enricher runs now.
@@ -129,7 +141,7 @@ def score_versions(
     gated = rental_term_gate(seen, cfg.policy, now).filter("gate_reason IS NULL").drop("gate_reason")
     passed = evaluate_filters(gated, cfg.rules).filter("reject_reason IS NULL").drop("reject_reason")
     scored = score_listing(passed, cfg.dims)
-    return scored.select(KEY, "url", "is_new", "final", "breakdown", "score_error", *order), commutes
+    return scored.select(KEY, "url", "is_new", "final", "breakdown", "score_error", *order), commutes, troubles
 
 
 @dataclass(frozen=True)
@@ -172,22 +184,29 @@ def run_scan(
     stored: DataFrame | None = None,
     outbox_used: DataFrame | None = None,
     priorities: DataFrame | None = None,
+    rejected: Sequence[DataFrame] = (),
 ) -> ScanResult:
     """Fold arrivals into the listings and decide what to notify.
 
     Every changed version passes the gate, the rules and the score in turn; a new key's first version alone can be
-    notified. ``outbox_used(day, used)`` counts the slots a day has spent.
+    notified. ``outbox_used(day, used)`` counts the slots a day has spent. The failures are those of readers (``rejected``, as `failure_log`
+    gives them), of enrichers and of scoring; none of them stops the rest.
     """
     if cfg.sources is not None:
         raw = raw.filter(F.col("plugin").isin(list(cfg.sources)))
     arrivals = stamp(raw, now, priorities)
     hot = arrival_heat(arrivals, order)
-    scored, commutes = score_versions(arrivals, order, cfg, now, stored, hot)
+    scored, commutes, troubles = score_versions(arrivals, order, cfg, now, stored, hot)
     done = decide(scored, order, cfg, now, outbox_used)
+    failures = done.failures
+    if troubles is not None:
+        failures = failures.unionByName(troubles.withColumn("occurred_at", now.cast("timestamp")))
+    for part in rejected:
+        failures = failures.unionByName(part)
     listings = merged_listings(arrivals, stored, order, now, hot)
     if commutes is not None:
         listings = with_commute(listings, commutes)
-    return ScanResult(listings, done.scores, done.outbox, done.failures, done.admitted)
+    return ScanResult(listings, done.scores, done.outbox, failures, done.admitted)
 
 
 def with_commute(df: DataFrame, commutes: DataFrame) -> DataFrame:

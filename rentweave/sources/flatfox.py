@@ -24,11 +24,11 @@ RESULT_DDL = (
 PAGE_DDL = f"results ARRAY<{RESULT_DDL}>, next STRING"
 
 
-def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows of good pages, and the pages that don't parse, with the ``problem``."""
     whole = F.greatest(F.size("results"), F.lit(0)).cast("string")
     problem = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("malformed page, readable rows: "), whole))
-    pages, rejected = split_malformed(read_json(spark, path, PAGE_DDL), problem)
+    pages, rejected = split_malformed(read_json(spark, path, PAGE_DDL, multi_line), problem)
     rows = pages.select("file", "position", F.posexplode("results").alias("item", "r"))
     return rows.select("r.*", "file", "position", "item"), rejected
 
