@@ -13,7 +13,8 @@ Terms, windows and the rows of candidates are broadcast only where a count shows
 joins shuffle.
 
 Defined results: null and empty texts have no words and no hits. Repeated documents, and different ones of one id, are judged row by row.
-A test item without an id cannot be named and is left out; repeated items count once by id.
+A test item without an id marks words and documents like any other, but has no name: it is neither in ``items`` nor in ``n_items``. Repeated items
+count once by id.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ FEW_TERMS, FEW_ROWS = 500_000, 2_000_000
 
 def windows(items: DataFrame, size: int = 10, id_column: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, phrase): every run of ``size`` words of an item; a shorter one with words is one phrase. Words are joined by a space."""
-    parts = items.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("item_id"), words(F.col(text)).alias("w"))
+    parts = items.select(F.col(id_column).alias("item_id"), words(F.col(text)).alias("w"))
     parts = parts.filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     return parts.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("phrase")).distinct()

@@ -17,7 +17,7 @@ WITH doc AS (
 ), item AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), win AS (
   SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS phrase, least(len(w), 10) AS n
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM item WHERE len(w) > 0)
@@ -27,7 +27,7 @@ WITH doc AS (
 ), hit AS (SELECT spot.rw, spot.s, spot.n, win.item_id FROM spot JOIN win ON spot.phrase = win.phrase AND spot.n = win.n),
 words AS (SELECT rw, count(DISTINCT p) AS n_hit FROM (SELECT rw, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rw),
 items AS (
-  SELECT rw, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+  SELECT rw, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS names
   FROM (SELECT DISTINCT rw, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY rw
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

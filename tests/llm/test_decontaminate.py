@@ -23,11 +23,12 @@ def brute(texts, items):
         for item_id, item in items:
             v = words(item)
             n = min(10, len(v))
-            runs = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n and item_id is not None else set()
+            runs = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in runs:
                     hit.update(range(i, i + n))
-                    names.add(str(item_id))
+                    if item_id is not None:
+                        names.add(str(item_id))
         out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
@@ -52,6 +53,13 @@ def test_dropping_keeps_clean_rows_and_columns(spark):
     assert plain(kept, "doc_id") == sorted(((r[0],) for r in judged if not r[5]), key=repr)
 
 
+def test_an_item_without_a_name_still_marks(spark):
+    item = prose(77, 12)
+    docs = documents(spark, [(1, prose(78, 5) + " " + item), (2, prose(79, 30))])
+    got = {r["doc_id"]: r for r in D.contamination(docs, spark.createDataFrame([(None, item)], "item_id long, text string")).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (12, 0, True) and not got[2]["contaminated"]
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in D.contamination(documents(spark), items).collect()} == {0}
