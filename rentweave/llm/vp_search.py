@@ -12,7 +12,8 @@ more. All queries of a block move through the tree together as numpy arrays. Sco
 in double precision, each alike, so equal vectors tie exactly.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite parts take no part, nor do rows without an id; vectors
-are compared with those of their own length; rows of the query's id are its own. Fewer candidates than k: all of them.
+are compared with those of their own length; rows of the query's id are its own. Fewer candidates than k: all of them. Every query row is answered
+by itself, also where several share an id.
 """
 
 from __future__ import annotations
@@ -155,7 +156,8 @@ def nearest(
         rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         return staged(rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v")), name)
 
-    base, asked = part(vectors, "vectors"), part(queries, "queries")
+    base, asked = part(vectors, "vectors"), part(queries, "queries").withColumn("asker", F.monotonically_increasing_id())
+    asked = staged(asked, "askers")
     shards, blocks = max(1, -(-base.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
     left = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
@@ -163,15 +165,15 @@ def nearest(
 
     def search(points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"asker": [], "query_id": [], "vec_id": [], "score": []})
         points = points.sort_values("id", kind="stable")
         tool = Search(points["id"].to_numpy(), matrix(points["v"]), k, factor)
         ids = wanted["id"].to_numpy()
         q, found, score = tool.run(ids, matrix(wanted["v"]))
-        return pd.DataFrame({"query_id": ids[q], "vec_id": found, "score": score})
+        return pd.DataFrame({"asker": wanted["asker"].to_numpy()[q], "query_id": ids[q], "vec_id": found, "score": score})
 
     keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "asker long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -44,6 +44,15 @@ def test_exact_at_factor_one_over_several_shards_and_blocks(spark, monkeypatch):
         assert found(S.nearest(vectors, vectors.filter("vec_id % 50 = 0"))) == brute(data)
 
 
+def test_every_query_row_has_its_own_neighbours(spark):
+    data = rows() + [(50, rows()[50][1], 0.0, "s"), (50, rows()[77][1], 0.0, "s")]
+    vectors = spark.createDataFrame(data, SCHEMA)
+    got = S.nearest(vectors, vectors.filter("vec_id = 50")).collect()
+    assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 3)
+    for r in (1, 2, 3, 4, 5):
+        assert len([x for x in got if x["rank"] == r]) == 3
+
+
 def test_fewer_candidates_than_wanted_and_none(spark):
     data = [(0, [1.0, 0.0], 0.0, "s"), (50, [0.0, 1.0], 0.0, "s"), (3, [1.0, 1.0], 0.0, "s")]
     vectors = spark.createDataFrame(data, SCHEMA)
