@@ -74,11 +74,18 @@ def example_texts(stream: DataFrame) -> DataFrame:
     return found.select(*examples(stream).columns, F.substring("all", F.lit(1), F.col("stop").cast("int")).alias("text"))
 
 
+def read_examples(stream: DataFrame) -> DataFrame:
+    """``examples`` with the text under their loss mask, unescaped, read from the turn of the stream that they end with."""
+    turns = stream.select(F.col("conv_id").alias("own"), F.col("start").alias("begin"), "piece")
+    found = examples(stream)
+    found = found.join(turns, found["conv_id"].eqNullSafe(turns["own"]) & (found["context_stop"] == turns["begin"]))
+    masked = F.substring("piece", (F.col("loss_start") - F.col("begin") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int"))
+    return found.select("conv_id", "turn", "context_stop", "loss_start", "loss_stop", "stop", unescape(masked).alias("loss"))
+
+
 def read_back(stream: DataFrame) -> DataFrame:
-    """Each formatted turn read again: (conv_id, start, stop, role, text, loss, target). ``loss`` is what lies under the loss mask, unescaped, or
-    null; target says whether the turn has one."""
+    """Each formatted turn read again: (conv_id, start, stop, role, text)."""
     inner = F.substring("piece", F.lit(len(OPEN) + 1), F.char_length("piece") - (len(OPEN) + len(CLOSE)))
-    masked = F.substring("piece", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int"))
     parts = stream.withColumn("inner", inner).withColumn("role_at", F.instr("inner", SEP))
     return parts.select(
         "conv_id",
@@ -86,16 +93,17 @@ def read_back(stream: DataFrame) -> DataFrame:
         "stop",
         unescape(F.substring("inner", F.lit(1), F.col("role_at") - 1)).alias("role"),
         unescape(F.substring("inner", F.col("role_at") + len(SEP), F.char_length("inner"))).alias("text"),
-        unescape(masked).alias("loss"),
     )
 
 
 def digests(stream: DataFrame) -> DataFrame:
-    """Per conversation what the streams and loss masks hold. The digest of a whole conversation needs its text in one value."""
-    told = read_back(stream).select("conv_id", "start", "stop", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"), "loss")
-    whole = told.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), F.max("stop").alias("formatted_chars"), F.count("loss").alias("n_examples"),
-        F.sum(F.when(F.col("loss").isNotNull(), F.col("stop"))).alias("chars"),
+    """Per conversation what its turns hold and what its examples train on. The digest of a whole conversation needs its text in one value."""
+    no = F.lit(None)
+    said = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
+    turns = read_back(stream).select("conv_id", "start", "stop", said.alias("said"), no.cast("string").alias("loss"), no.cast("long").alias("chars"))
+    trained = read_examples(stream).select("conv_id", F.col("context_stop").alias("start"), no.cast("long").alias("stop"), no.cast("string").alias("said"), "loss", F.col("stop").alias("chars"))
+    whole = turns.unionByName(trained).groupBy("conv_id").agg(
+        F.count("said").alias("n_turns"), F.max("stop").alias("formatted_chars"), F.count("loss").alias("n_examples"), F.sum("chars").alias("chars"),
         F.array_sort(F.collect_list(F.struct("start", "said", "loss"))).alias("all"),
     )
     loss = F.array_join("all.loss", "")
