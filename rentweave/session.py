@@ -43,6 +43,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="rentweave-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
