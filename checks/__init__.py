@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["merge", "rules", "search", "text", "urls", "enrich", "stores", "jobs", "portals", "trees", "streams", "failures"]
+GROUPS = ["merge", "rules", "search", "text", "urls", "enrich", "stores", "jobs", "portals", "trees", "streams", "failures", "store"]
 ALL = {}
 for _group in GROUPS:
     _queries = import_module(f"checks.{_group}").QUERIES
