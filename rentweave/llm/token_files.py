@@ -47,6 +47,8 @@ BLANKS = " \n"
 FEW_PARTS = 1_000_000
 #: Chunks, and ids of chunks, that a worker keeps before it starts anew.
 KEPT, KEPT_IDS = 600_000, 4 << 20
+#: Bytes of texts encoded together; a longer text goes alone.
+GATHERED = 6 << 20
 #: Chunks handed to the library as one text.
 JOINED = 100
 
@@ -73,6 +75,15 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.starts, self.lens, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
 
+    def _renew(self, chunks: list[str]) -> None:
+        """Keep only those of the given chunks that are known: the frequent ones are among them."""
+        kept = [x for x in chunks if x in self.place]
+        at = np.fromiter((self.place[x] for x in kept), np.int64, len(kept))
+        lens = self.lens[at]
+        ids = self.ids[ragged(self.starts[at], lens)]
+        self._forget()
+        self._keep(kept, ids, lens)
+
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks. The library takes JOINED of them as one text. Chunks of letters alone are one word each, whose last id is one that ends
         words; for others the offsets that the library gives tell which chunk an id belongs to."""
@@ -123,8 +134,7 @@ class Encoder:
         chunks = coded.dictionary.to_pylist()
         fresh = [x for x in chunks if x not in self.place]
         if len(self.place) + len(fresh) > KEPT or self.used > KEPT_IDS:
-            self._forget()
-            fresh = chunks
+            self._renew(chunks)
         self._learn(fresh)
         known = np.fromiter((self.place[x] for x in chunks), np.int64, len(chunks))
         places = known[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64)
@@ -147,6 +157,18 @@ def encoder(raw: bytes, end: int, by_chunk: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Two columns of small batches as larger arrays, of which more repeat their chunks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED:
+            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+            held = []
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+
 def write_tokens(
     docs: DataFrame,
     vocabulary: str,
@@ -171,15 +193,14 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, base = encoder(raw, end, by_chunk), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for a, b in slices(lengths):
-                ids, sizes = tool.texts(batch.column(1).slice(a, b - a))
+        for keys, texts in gathered(batches):
+            for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), GATHERED):
+                ids, sizes = tool.texts(texts.slice(a, b - a))
                 stops = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(b - a, part, np.int32)),
-                        batch.column(0).slice(a, b - a),
+                        keys.slice(a, b - a),
                         pa.array(base + stops - sizes),
                         pa.array(base + stops),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids)),
@@ -203,7 +224,7 @@ def write_tokens(
     )
     out = dealt.sortWithinPartitions(*order, "_text").select("_id", "_text").mapInArrow(run, schema)
     (
-        out.write.option("compression", "zstd")
+        out.write.option("compression", "snappy")
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group_mb << 20)
         .option("parquet.page.size", page_kb << 10)

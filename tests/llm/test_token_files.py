@@ -113,7 +113,7 @@ def test_memory_of_chunks_starts_anew(library, monkeypatch):
 
     monkeypatch.setattr(K, "KEPT", 5)
     tool = K.Encoder(open(VOCABULARY, "rb").read(), 1, True)
-    for texts in (["one two three four", "five six"], ["seven one", ""], ["a b c d e f g h one"]):
+    for texts in (["one two three four", "five six"], ["seven one", ""], ["a b c d e f g h one"], ["one a two b one", "c"]):
         ids, sizes = tool.texts(pa.array(texts))
         want = [library(t) for t in texts]
         assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
