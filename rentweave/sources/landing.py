@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rentweave.functions.plan import keep_where
+
 CORRUPT = "_corrupt_record"
 
 
@@ -31,7 +33,8 @@ def read_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = True)
 def split_malformed(rows: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rejected rows with the ``problem`` found (null means good)."""
     judged = rows.withColumn("problem", problem)
-    return judged.filter("problem IS NULL").drop("problem"), judged.filter("problem IS NOT NULL")
+    # Pinned: a plain filter is copied below the parse, which then runs again for the filter and for the rows that are kept.
+    return keep_where(judged, F.col("problem").isNull()).drop("problem"), keep_where(judged, F.col("problem").isNotNull())
 
 
 def failure_log(rejected: DataFrame, plugin: str, occurred_at: Column, listing_id: Column | None = None) -> DataFrame:

@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
+
 from rentweave.operators import merge as M
 from rentweave.operators.skew import HotKeys
+from rentweave.sources import homegate
 from tests.test_merge import frame, make_rows
 
 
@@ -25,3 +28,13 @@ def sorted_joins(spark):
 def test_history_moves_wide_rows_once(spark, sorted_joins):
     history = M.merge_history(frame(spark, make_rows(3, keys=4, most=4)), ["seq"], hot=HotKeys([], []))
     assert not re.search(r"hashpartitioning\(canonical_key#\w+, _ord", plan(history, "executedPlan"))
+
+
+def test_rejects_do_not_parse_again(spark):
+    texts = spark.createDataFrame([('{"id": "1", "listing": {"id": "2"}}',), ('{"id": "1"}',), ('{"id": ',)], "t STRING")
+    parsed = texts.select(F.from_json("t", homegate.ENVELOPE_DDL + ", _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"))
+    good, bad = homegate.reject_malformed(parsed.select("e.*"))
+    assert [r["listing"]["id"] for r in good.collect()] == ["2"]
+    assert sorted(r["problem"] for r in bad.collect()) == ["listing: required", "malformed record"]
+    for rows in (good, bad):
+        assert not [line for line in plan(rows).splitlines() if "Filter" in line and "from_json" in line]
