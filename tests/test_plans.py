@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rentweave.operators import merge as M
 from rentweave.operators.skew import HotKeys
-from rentweave.sources import homegate
+from rentweave.sources import homegate, immoscout
 from tests.test_merge import frame, make_rows
 
 
@@ -38,3 +38,12 @@ def test_rejects_do_not_parse_again(spark):
     assert sorted(r["problem"] for r in bad.collect()) == ["listing: required", "malformed record"]
     for rows in (good, bad):
         assert not [line for line in plan(rows).splitlines() if "Filter" in line and "from_json" in line]
+
+
+def test_later_wrappers_are_parsed_only_if_needed(spark):
+    page = '{"listings":[],"page":%d,"pageCount":1,"resultCount":0,"itemsPerPage":20,"hasNextPage":false,"hasPreviousPage":false}'
+    bodies = [(page % 1,), ('{"result":%s,"data":%s}' % (page % 2, page % 3),), ('{"result":{},"data":%s}' % (page % 4),), ('{"resultList":%s}' % (page % 5),), ("{",), (None,)]
+    got = spark.createDataFrame(bodies, "body STRING").select(immoscout.unwrap_result_page(F.col("body")).alias("p"))
+    assert [r["p"] and r["p"]["page"] for r in got.collect()] == [1, 2, 4, 5, None, None]
+    # One parse for each place, so that those behind the first whole page are left out.
+    assert plan(got).count("from_json") == 4
