@@ -1,10 +1,12 @@
 """Work that a plan must not do twice."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import stores
 from rentweave.operators import merge as M
 from rentweave.operators.skew import HotKeys
 from rentweave.sources import homegate, immoscout
@@ -47,3 +49,13 @@ def test_later_wrappers_are_parsed_only_if_needed(spark):
     assert [r["p"] and r["p"]["page"] for r in got.collect()] == [1, 2, 4, 5, None, None]
     # One parse for each place, so that those behind the first whole page are left out.
     assert plan(got).count("from_json") == 4
+
+
+@pytest.mark.parametrize("query", [stores.upsert, stores.upsert_again])
+def test_stored_listings_are_made_once(spark, tmp_path, query):
+    line = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_shipdate TIMESTAMP"
+    rows = [(k, 1 + k % 3, k % 2, k, 5.0, 10.0, datetime(1998, 1, 1 + k)) for k in range(6)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, 3), (1, 4)], "p_partkey BIGINT, p_size INT").write.parquet(f"{tmp_path}/part.parquet")
+    out = query(spark, str(tmp_path))
+    assert "LogicalRDD" in plan(out) and out.count()
