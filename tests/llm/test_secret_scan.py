@@ -83,3 +83,19 @@ def test_slopes_are_those_of_the_loss():
         down = loss()
         p[at] = old
         assert abs((up - down) / 2e-4 - g[at]) < 1e-3
+
+
+def test_every_distinct_window_takes_part_however_many_there_are(spark, monkeypatch):
+    scanned = S.scan(documents(spark, corpus()))
+    windows = {(bytes(c["window"]), c["known"]) for r in scanned.collect() for c in r["found"]}
+    trained, set_apart = [], []
+    average, calibrated = S.average, S.calibrated
+    monkeypatch.setattr(S, "SHARD", 50)
+    monkeypatch.setattr(S, "average", lambda seen, *rest: trained.extend(seen.collect()) or average(seen, *rest))
+    monkeypatch.setattr(S, "calibrated", lambda seen, *rest: set_apart.extend(seen.collect()) or calibrated(seen, *rest))
+    net = S.learn(scanned, most=40)
+    both = [(bytes(r["window"]), r["known"]) for r in trained + set_apart]
+    assert len(both) == len(set(both)) and set(both) == windows and min(len(trained), len(set_apart)) > 40
+    codes, truth = S.unpacked(w for w, _ in both), np.array([k for _, k in both])
+    yes = net.chance(codes) >= net.threshold
+    assert yes[truth].mean() > 0.9 and yes[~truth].mean() < 0.1
