@@ -167,3 +167,14 @@ def test_hot_key_split_on_a_text_order_whose_first_column_is_all_one(spark):
     split = M.merge_listings(df, ["file", "place"], hot=hot).collect()
     whole = M.merge_listings(df, ["seq"], hot=HotKeys([], [])).collect()
     assert sorted(split, key=lambda r: r["canonical_key"]) == sorted(whole, key=lambda r: r["canonical_key"])
+
+
+def test_wide_stages_are_compiled(spark):
+    """Spark leaves a stage alone whose method is too long for the JVM to compile only below this limit."""
+    own = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        M.merge_listings(frame(spark, make_rows(8, keys=2, most=2)), ["seq"], hot=HotKeys([], []))
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", own)
