@@ -1,6 +1,7 @@
 """The closed-form merge against a plain fold, with and without hot keys."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -178,3 +179,12 @@ def test_wide_stages_are_compiled(spark):
         assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", own)
+
+
+def test_copies_of_members_meet_in_a_hash_table(spark):
+    rows = make_rows(9, keys=3, most=12)
+    facts = M.merge_collections(M.with_ranks(frame(spark, rows), ["seq"], HotKeys([], [])))
+    plan = facts._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[canonical_key#\d+, kind#\d+, name#\d+, value#\d+\]", plan)
+    got = {r["canonical_key"]: r["features"] or {} for r in facts.collect()}
+    assert got == {k: fold(group)[-1][0]["features"] for k, group in by_key(rows).items()}
