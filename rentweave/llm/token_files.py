@@ -28,7 +28,9 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ KEPT, KEPT_IDS = 600_000, 4 << 20
 GATHERED = 6 << 20
 #: Chunks handed to the library as one text.
 JOINED = 100
+#: Words that tell whether a tokenizer hands words of a-z to its model unchanged.
+PROBES = [*"abcdefghijklmnopqrstuvwxyz", "thequickbrownfoxjumpsoverthelazydog", "s", "ll", "re"]
 
 
 class Encoder:
@@ -69,6 +73,9 @@ class Encoder:
             vocabulary = self.tool.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        # Where normalizing and splitting leave words of a-z as they are, the library's model may be asked for them itself.
+        self.model = self.tool.model
+        self.direct = self.ends is not None and all([t.id for t in self.model.tokenize(w)] == self.tool.encode(w, add_special_tokens=False).ids for w in PROBES)
         self._forget()
 
     def _forget(self) -> None:
@@ -85,10 +92,22 @@ class Encoder:
         self._keep(kept, ids, lens)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks. The library takes JOINED of them as one text. Chunks of letters alone are one word each, whose last id is one that ends
+        """Ids of new chunks. Words of a-z go to the library's model one by one, which costs a third; of others it takes JOINED as one text. Chunks of letters alone are one word each, whose last id is one that ends
         words; for others the offsets that the library gives tell which chunk an id belongs to."""
-        words = [x for x in chunks if self.ends is not None and x.isalpha() and "\u0130" not in x]  # its lower case has a mark
-        rest = chunks if self.ends is None else [x for x in chunks if not x.isalpha() or "\u0130" in x]
+        plain, words, rest = [], [], chunks
+        if self.ends is not None:
+            rest = []
+            for x in chunks:
+                if x.isalpha() and "\u0130" not in x:  # its lower case has a mark
+                    (plain if self.direct and x.isascii() and x.islower() else words).append(x)
+                else:
+                    rest.append(x)
+        found, lens = array("i"), array("q")
+        for x in plain:
+            got = self.model.tokenize(x)
+            lens.append(len(got))
+            found.extend([t.id for t in got])
+        self._keep(plain, np.array(found, np.int32), np.array(lens, np.int64))
         for some, by_end in ((words, True), (rest, False)):
             groups = [some[a : a + JOINED] for a in range(0, len(some), JOINED)]
             encode = self.tool.encode_batch_fast if by_end else self.tool.encode_batch
@@ -131,12 +150,13 @@ class Encoder:
         parts = pc.split_pattern(texts, BLANKS[0])
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        fresh = [x for x in chunks if x not in self.place]
+        # Numpy makes the strings several times faster than to_pylist; most of what is left here are look-ups, so they run without Python code.
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = list(filterfalse(self.place.__contains__, chunks))
         if len(self.place) + len(fresh) > KEPT or self.used > KEPT_IDS:
             self._renew(chunks)
         self._learn(fresh)
-        known = np.fromiter((self.place[x] for x in chunks), np.int64, len(chunks))
+        known = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
         places = known[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64)
         lens = self.lens[places]
         body = self.ids[ragged(self.starts[places], lens)]
