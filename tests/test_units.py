@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentweave import schema as S
+from rentweave import session
 from rentweave.functions.dates import next_weekday_at, parse_date_strict
 from rentweave.functions.keys import key_material
 from rentweave.functions.normalize import Band, Linear, Step
@@ -240,3 +241,22 @@ def test_paths_below_an_open_map(spark):
 
     assert tuple(found("features.a.b")) == ("3", False) and tuple(found("features.a.c")) == (None, False)
     assert tuple(found("features.a.d.0.e")) == ('"x"', False) and found("features.a.z")[1] and found("features.f.g")[1]
+
+
+def test_spread_looks_at_rows_not_at_splits(spark, tmp_path):
+    """One row group in many splits, of which one has all rows, is dealt out; an even table stays as it is."""
+    path = str(tmp_path / "one_group")
+    spark.range(50_000, numPartitions=1).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = spark.read.parquet(path)
+        splits = rows.rdd.getNumPartitions()
+        assert splits >= cores > 1
+        sizes = [r["count"] for r in session.spread(rows, "id").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 50_000 and max(sizes) * cores <= 1.5 * 50_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    even = spark.range(1000, numPartitions=4 * cores)
+    assert session.spread(even, "id") is even
